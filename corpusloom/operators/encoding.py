@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from corpusloom.functions.arrays import unroll
+
 UNKNOWN_ID = 1
 FIRST_TERM_ID = 2
 
@@ -16,7 +18,7 @@ def token_vocabulary(docs: DataFrame, tokens: str, size: int) -> DataFrame:
     Id 0 is padding and 1 stands for tokens outside the vocabulary.
     """
     top = (
-        docs.select(F.explode(tokens).alias("token"))
+        unroll(docs, [], tokens, "_i", "token")
         .groupBy("token")
         .agg(F.count("*").alias("n"))
         .orderBy(F.desc("n"), "token")
@@ -45,7 +47,7 @@ def encode_rows(docs: DataFrame, id_column: str, segments: Column, vocabulary: D
     )
     found = F.struct("_position", F.coalesce("token_id", F.lit(UNKNOWN_ID)).alias("token_id"))
     # an empty document leaves one row without a token, which collect_list skips
-    ids = F.array_sort(F.collect_list(F.when(F.col("token").isNotNull(), found)))
+    ids = F.sort_array(F.collect_list(F.when(F.col("token").isNotNull(), found)))
     flat = cells.groupBy(id_column).agg(
         F.transform(ids, lambda c: c["token_id"]).alias("_ids"), F.any_value("_sizes").alias("_sizes")
     )

@@ -19,11 +19,11 @@ def max_pool(segments: DataFrame, document: str, vector: str, real: Column | Non
         .groupBy(document, "_dim")
         .agg(F.max("_x").alias("_x"))
     )
-    ordered = F.array_sort(F.collect_list(F.struct("_dim", "_x")))
+    ordered = F.sort_array(F.collect_list(F.struct("_dim", "_x")))
     return maxima.groupBy(document).agg(F.transform(ordered, lambda c: c["_x"]).alias(vector))
 
 
 def regroup_choices(rows: DataFrame, example: str, choice: str, score: str) -> DataFrame:
     """One row per (example, choice) back to one ordered score list per example."""
-    ordered = F.array_sort(F.collect_list(F.struct(choice, score)))
+    ordered = F.sort_array(F.collect_list(F.struct(choice, score)))
     return rows.groupBy(example).agg(F.transform(ordered, lambda c: c[score]).alias("scores"))

@@ -20,3 +20,5 @@ SEEDS = tuple(range(1, 6))
 TOP_SEEDS = 3
 PATIENCE = 3
 CAP = 100
+SVM_VOCABULARY_SIZES = (1_000, 2_000)
+SVM_ITERATIONS = 20

@@ -11,6 +11,7 @@ from corpusloom.functions import labels as L
 from corpusloom.functions import sequences as S
 from corpusloom.functions import text as T
 from corpusloom.functions import vectors as V
+from corpusloom.functions.arrays import unroll
 from corpusloom.operators import curation, encoding, evaluation, leaderboard, losses, pooling, sampling, svm, tfidf, training_log
 from corpusloom.operators.lookups import lookup_join
 from corpusloom.plans import views
@@ -29,6 +30,8 @@ from corpusloom.plans.parameters import (
     SEGMENT_WORDS,
     SEGMENTS,
     SEQUENCE,
+    SVM_ITERATIONS,
+    SVM_VOCABULARY_SIZES,
     TASKS,
     TOKEN_VOCABULARY,
     TOP_LABELS,
@@ -270,7 +273,7 @@ def curate_year_sample_split(spark, folder):
 def curate_chrono_group_split(spark, folder):
     """Every sentence with its company's year and chronological split."""
     groups = curation.chronological_splits(
-        views.companies(spark, folder), ["year", "company"], N_TRAIN_GROUPS, N_VALIDATION_GROUPS
+        cache.spool(views.companies(spark, folder)), ["year", "company"], N_TRAIN_GROUPS, N_VALIDATION_GROUPS
     )
     rows = views.sentences(spark, folder)
     joined = lookup_join(rows, groups, "company", spread_by=["doc_id", "line_no"])
@@ -329,7 +332,7 @@ def curate_dataset_card(spark, folder):
 @query
 def text_first_n_words(spark, folder):
     """First words, all words but the last, and the word count."""
-    docs = views.table(spark, folder, "documents")
+    docs = views.documents(spark, folder)
     return docs.select(
         "doc_id",
         T.first_words(F.col("text"), FIRST_WORDS).alias("head"),
@@ -346,13 +349,13 @@ def segments_of(column: str = "text") -> Column:
 @query
 def text_segments(spark, folder):
     """The first segments of each document, one row each."""
-    docs = views.table(spark, folder, "documents")
-    return docs.select("doc_id", F.posexplode(segments_of()).alias("segment", "text"))
+    docs = views.documents(spark, folder).select("doc_id", segments_of().alias("segments"))
+    return unroll(docs, ["doc_id"], "segments", "segment", "text")
 
 
 @query
 def text_long_document(spark, folder):
-    docs = views.table(spark, folder, "documents")
+    docs = views.documents(spark, folder)
     whole = T.long_document(T.paragraphs(F.col("text"), SEGMENT_PATTERN), "[SEP]", SEGMENTS, SEGMENT_WORDS)
     return docs.select("doc_id", whole.alias("text"))
 
@@ -360,12 +363,12 @@ def text_long_document(spark, folder):
 @query
 def text_joined_segments(spark, folder):
     """All segments of a document joined with a blank."""
-    docs = views.table(spark, folder, "documents")
+    docs = views.documents(spark, folder)
     return docs.select("doc_id", T.join_segments(T.paragraphs(F.col("text"), SEGMENT_PATTERN)).alias("text"))
 
 
 def documents_with_terms(spark: SparkSession, folder: str) -> DataFrame:
-    return views.table(spark, folder, "documents").select("doc_id", "text", T.terms(F.col("text")).alias("tokens"))
+    return views.documents(spark, folder).select("doc_id", "text", T.terms(F.col("text")).alias("tokens"))
 
 
 @query
@@ -400,11 +403,12 @@ def text_segment_matrix(spark, folder):
 @query
 def text_pair_truncate(spark, folder):
     """Context and choice cut to a common budget, with token types."""
-    pairs = views.choice(spark, folder).select(
+    counted = views.choice(spark, folder).select(
         "doc_id",
         T.word_count(F.col("context")).alias("a"),
-        F.posexplode(F.transform("endings", lambda e: T.word_count(e))).alias("choice", "b"),
+        F.transform("endings", lambda e: T.word_count(e)).alias("counts"),
     )
+    pairs = unroll(counted, ["doc_id", "a"], "counts", "choice", "b")
     kept = pairs.select("doc_id", "choice", S.pair_lengths(F.col("a"), F.col("b"), PAIR_BUDGET).alias("kept"))
     return kept.select(
         "doc_id",
@@ -419,10 +423,10 @@ def text_pair_truncate(spark, folder):
 def text_pair_length_stats(spark, folder):
     """Mean and median words of ``context + ' ' + choice`` over all pairs."""
     # the blank between them keeps words apart, so the counts of both parts add up
-    pairs = views.choice(spark, folder).select(
-        T.word_count(F.col("context")).alias("a"),
-        F.explode(F.transform("endings", lambda e: T.word_count(e))).alias("b"),
+    counted = views.choice(spark, folder).select(
+        T.word_count(F.col("context")).alias("a"), F.transform("endings", lambda e: T.word_count(e)).alias("counts")
     )
+    pairs = unroll(counted, ["a"], "counts", "choice", "b")
     n_words = F.col("a") + F.col("b")
     stats = pairs.agg(
         F.count("*").alias("n_pairs"), F.avg(n_words).alias("mean_words"), F.median(n_words).alias("median_words")
@@ -446,7 +450,7 @@ def text_identifiers(spark, folder):
 
 
 def documents_with_ngrams(spark: SparkSession, folder: str) -> DataFrame:
-    return tfidf.with_ngrams(views.table(spark, folder, "documents").select("doc_id", "text"), "text")
+    return tfidf.with_ngrams(views.documents(spark, folder).select("doc_id", "text"), "text")
 
 
 @query
@@ -478,14 +482,14 @@ def tfidf_weights(spark, folder):
 
 # --- linear baselines ----------------------------------------------------------
 
-SVM_GRID = svm.grid(sizes=(1_000, 2_000), penalties=(0.1, 1.0, 10.0))
+SVM_GRID = svm.grid(sizes=SVM_VOCABULARY_SIZES)
 
 
 @query
 def svm_multiclass_grid(spark, folder):
     """Language from text: grid search on the validation split, then the best point on all splits."""
     names = F.array(*[F.lit(x) for x in views.LANGUAGES])
-    rows = views.table(spark, folder, "documents").select(
+    rows = views.documents(spark, folder).select(
         "doc_id",
         "text",
         views.split_column().alias("split"),
@@ -498,7 +502,7 @@ def svm_multiclass_grid(spark, folder):
         return features[size]
 
     def predict(prepared: DataFrame, penalty: float) -> DataFrame:
-        return svm.fit_predict_multiclass(prepared, "label", penalty)
+        return svm.fit_predict_multiclass(prepared, "label", penalty, SVM_ITERATIONS)
 
     scores = svm.grid_search(
         spark, SVM_GRID, features_for, predict, lambda p: evaluation.accuracy(p, "label", "predicted")
@@ -518,10 +522,10 @@ def svm_multiclass_grid(spark, folder):
 def svm_multilabel(spark, folder):
     """Quality and toxicity from text: one SVM per label, scored with the zero class."""
     rows = evaluation.align(
-        views.multilabel_gold(spark, folder), views.table(spark, folder, "documents").select("doc_id", "text"), "doc_id"
+        views.multilabel_gold(spark, folder), views.documents(spark, folder).select("doc_id", "text"), "doc_id"
     ).withColumn("split", views.split_column())
-    prepared = cache.spool(svm.featurise(rows, "text", 1_000, tfidf.MIN_DOCUMENTS).drop("text"))
-    predicted = svm.fit_predict_multilabel(prepared, "labels", LABELS, 1.0)
+    prepared = cache.spool(svm.featurise(rows, "text", MAX_FEATURES, tfidf.MIN_DOCUMENTS).drop("text"))
+    predicted = svm.fit_predict_multilabel(prepared, "labels", LABELS, 1.0, SVM_ITERATIONS)
     return svm.split_scores(predicted, "labels", multilabel=LABELS)
 
 
@@ -530,8 +534,8 @@ def svm_choice(spark, folder):
     """Choice from six TF-IDF blocks: the context and each of the five options."""
     rows = svm.choice_columns(views.choice(spark, folder)).withColumn("split", views.split_column())
     columns = ["context", *[f"option_{i}" for i in range(1, 6)]]
-    prepared = cache.spool(svm.featurise_choices(cache.spool(rows), columns, 1_000, tfidf.MIN_DOCUMENTS).drop(*columns))
-    return svm.split_scores(svm.fit_predict_multiclass(prepared, "label", 1.0), "label")
+    prepared = cache.spool(svm.featurise_choices(cache.spool(rows), columns, MAX_FEATURES, tfidf.MIN_DOCUMENTS).drop(*columns))
+    return svm.split_scores(svm.fit_predict_multiclass(prepared, "label", 1.0, SVM_ITERATIONS), "label")
 
 
 # --- vectors -----------------------------------------------------------------

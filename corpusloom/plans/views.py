@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpusloom.functions.arrays import unroll
 from corpusloom.operators.curation import CLAUSE_LABELS
 from corpusloom.operators.lookups import lookup_join
 
@@ -18,6 +19,19 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def documents(spark: SparkSession, folder: str) -> DataFrame:
+    """(doc_id, text, ...) for work that is heavy per document.
+
+    A table of many files is scanned by as many tasks and stays where it is. Only
+    one with fewer scan tasks than cores is spread, by the key later steps group by.
+    """
+    docs = table(spark, folder, "documents")
+    cores = spark.sparkContext.defaultParallelism
+    if docs.rdd.getNumPartitions() < cores:
+        docs = docs.repartition(cores, "doc_id")
+    return docs
+
+
 def split_column(id_column: str = "doc_id"):
     """A split for tables that come without one: 80 / 10 / 10 by id."""
     place = F.col(id_column) % 10
@@ -64,9 +78,9 @@ def choice(spark: SparkSession, folder: str) -> DataFrame:
     """(doc_id, context, endings, label): a document, five passages, the gold choice."""
     items = table(spark, folder, "benchmark").select("item_id", F.col("text").alias("ending"))
     slots = lookup_join(choice_items(spark, folder), items, "item_id", spread_by=["doc_id", "k"])
-    ordered = F.array_sort(F.collect_list(F.struct("k", "ending")))
+    ordered = F.sort_array(F.collect_list(F.struct("k", "ending")))
     endings = slots.groupBy("doc_id").agg(F.transform(ordered, lambda e: e["ending"]).alias("endings"))
-    docs = table(spark, folder, "documents").select("doc_id", F.col("text").alias("context"))
+    docs = documents(spark, folder).select("doc_id", F.col("text").alias("context"))
     return docs.join(endings, "doc_id").withColumn("label", (F.col("doc_id") % 5).cast("int"))
 
 
@@ -87,9 +101,10 @@ def orders_brands(spark: SparkSession, folder: str) -> DataFrame:
 
 def sentences(spark: SparkSession, folder: str) -> DataFrame:
     """(company, doc_id, line_no, text): the lines of each document."""
-    return table(spark, folder, "documents").select(
-        F.col("source").alias("company"), "doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "text")
+    docs = table(spark, folder, "documents").select(
+        F.col("source").alias("company"), "doc_id", F.split("text", "\n").alias("lines")
     )
+    return unroll(docs, ["company", "doc_id"], "lines", "line_no", "text")
 
 
 def annotations(spark: SparkSession, folder: str) -> DataFrame:
@@ -188,7 +203,7 @@ def train_logs(spark: SparkSession, folder: str) -> DataFrame:
         .cast("double")
         .alias("train_runtime"),
     )
-    entries = F.array_sort(F.collect_list(F.struct("epoch", "train_runtime")))
+    entries = F.sort_array(F.collect_list(F.struct("epoch", "train_runtime")))
     return steps.groupBy("task", "model", "seed").agg(entries.alias("log_history"))
 
 

@@ -31,10 +31,9 @@ def local_session(cores: int | str = "*", app: str = "corpusloom", memory: str =
         SparkSession.builder.master(f"local[{cores}]")
         .appName(app)
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", memory)
         .config("spark.sql.shuffle.partitions", partitions)
-        # tests and the bench read single small files; a cluster keeps the default 128 MB
-        .config("spark.sql.files.maxPartitionBytes", "4m")
         .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="corpusloom-"))
     )
     spark = tune(builder.getOrCreate())
