@@ -37,8 +37,8 @@ def fixed(x: Column, digits: int) -> Column:
     part = product - whole
     up = (part > 0.5) | ((part == 0.5) & ((error > 0) | ((error == 0) & (whole % 2 == 1))))
     units = whole + up.cast("bigint")
-    # atan2 tells -0.0 from 0.0
-    negative = F.when(x == 0, F.atan2(x, F.lit(-1.0)) < 0).otherwise(x < 0)
+    # only the printed form tells -0.0 from 0.0
+    negative = F.when(x == 0, x.cast("string").startswith("-")).otherwise(x < 0)
     sign = F.when(negative, "-").otherwise("")
     if digits == 0:
         number = units.cast("string")

@@ -36,19 +36,20 @@ def encode_rows(docs: DataFrame, id_column: str, segments: Column, vocabulary: D
     by its size and broadcast. A document's tokens meet again on the map side,
     so the shuffle moves one row of ids per document.
     """
-    cells = (
-        docs.select(id_column, segments.alias("_segments"))
-        .select(
-            id_column,
-            F.transform("_segments", lambda s: F.size(s)).alias("_sizes"),
-            F.posexplode_outer(F.flatten("_segments")).alias("_position", "token"),
-        )
-        .join(F.broadcast(vocabulary), "token", "left")
+    # sizes and the flat list are made before the tokens become rows: whatever is
+    # kept beside a token is copied to every one of its rows
+    flat = docs.select(
+        id_column,
+        F.transform(segments, lambda s: F.size(s)).alias("_sizes"),
+        F.flatten(segments).alias("_tokens"),
+    )
+    cells = flat.select(id_column, "_sizes", F.posexplode_outer("_tokens").alias("_position", "token")).join(
+        F.broadcast(vocabulary), "token", "left"
     )
     found = F.struct("_position", F.coalesce("token_id", F.lit(UNKNOWN_ID)).alias("token_id"))
     # an empty document leaves one row without a token, which collect_list skips
     ids = F.sort_array(F.collect_list(F.when(F.col("token").isNotNull(), found)))
-    flat = cells.groupBy(id_column).agg(
+    encoded = cells.groupBy(id_column).agg(
         F.transform(ids, lambda c: c["token_id"]).alias("_ids"), F.any_value("_sizes").alias("_sizes")
     )
 
@@ -56,4 +57,4 @@ def encode_rows(docs: DataFrame, id_column: str, segments: Column, vocabulary: D
         start = F.aggregate(F.slice("_sizes", F.lit(1), i), F.lit(0), lambda acc, n: acc + n)
         return F.slice("_ids", start + 1, size)
 
-    return flat.select(id_column, F.transform("_sizes", row).alias("rows"))
+    return encoded.select(id_column, F.transform("_sizes", row).alias("rows"))

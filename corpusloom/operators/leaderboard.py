@@ -13,18 +13,6 @@ from corpusloom.functions.numbers import duration, fixed, percent
 RUN = ("model", "task")
 SCORES = ("eval_micro_f1", "eval_macro_f1", "predict_micro_f1", "predict_macro_f1")
 
-# Display names of the published models.
-MODEL_NAMES = {
-    "bert-base-uncased": "BERT",
-    "roberta-base": "RoBERTa",
-    "microsoft/deberta-base": "DeBERTa",
-    "allenai/longformer-base-4096": "Longformer",
-    "google/bigbird-roberta-base": "BigBird",
-    "nlpaueb/legal-bert-base-uncased": "Legal-BERT",
-    "zlucia/custom-legalbert": "CaseLaw-BERT",
-    "roberta-large": "RoBERTa",
-}
-
 
 def ranked_seeds(runs: DataFrame, metric: str = "eval_macro_f1") -> DataFrame:
     """Seeds of each (model, task) ranked by a dev score, ties in seed order."""

@@ -30,11 +30,12 @@ def with_stop_flag(epochs: DataFrame, run: Sequence[str], epoch: str, metric: st
 
 
 def early_stop(epochs: DataFrame, run: Sequence[str], epoch: str, metric: str, patience: int = 3) -> DataFrame:
-    """Per run: the epoch training stops at, null when it never runs out of patience, and the last epoch."""
+    """Per run: the epoch training ends at, and whether patience ended it before the last epoch's turn."""
     flagged = with_stop_flag(epochs, run, epoch, metric, patience)
-    return flagged.groupBy(*run).agg(
-        F.min(F.when(F.col("stops"), F.col(epoch))).alias("stop_epoch"),
-        F.max(epoch).alias("last_epoch"),
+    return (
+        flagged.groupBy(*run)
+        .agg(F.min(F.when(F.col("stops"), F.col(epoch))).alias("_stop"), F.max(epoch).alias("_last"))
+        .select(*run, F.coalesce("_stop", "_last").alias("stop_epoch"), F.col("_stop").isNotNull().alias("out_of_patience"))
     )
 
 

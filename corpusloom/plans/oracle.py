@@ -4,10 +4,16 @@ from __future__ import annotations
 
 import re
 
-from corpusloom.functions.text import ENGLISH_STOP_WORDS, WORD_PATTERN
+from corpusloom.functions.text import ENGLISH_STOP_WORDS
 from corpusloom.operators.curation import CLAUSE_LABELS
 from corpusloom.plans import parameters as P
 
+# the words of text functions, for an engine whose classes are ASCII only
+WORD_PATTERN = (
+    r"[^\s\x{0b}\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}"
+    r"\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
+)
+
 # --- views, inlined as common table expressions --------------------------------
 
 VIEWS = {
@@ -315,6 +321,9 @@ ORACLE = {
         select page_id, split_part(list_last(string_split(url,'/')),'.',1) stem,
           array_to_string([upper(w[1]) || w[2:] for w in string_split(regexp_replace(url,'[^a-z]+',' ','g'),' ')],'') identifier,
           upper(url) heading from pages""",
+    "text_batched_map": f"""
+        select doc_id, len(w) as n_tokens, coalesce(w[len(w)], '') as last_token
+        from (select doc_id, regexp_extract_all(text, '{WORD_PATTERN}') w from documents)""",
     "tfidf_ngram_counts": with_views("select d.doc_id, cast(coalesce(sum(tf),0) as int) n_terms, cast(count(term) as int) n_distinct"
         " from documents d left join v_counts c on c.doc_id=d.doc_id group by d.doc_id",
     ),
@@ -385,7 +394,8 @@ ORACLE = {
         f" {clock('runtime')} || chr(9) || ' TIME/EPOCH: ' || {clock('time_per_epoch')} || chr(9) || ' EPOCHS: ' ||"
         " printf('%.1f', epochs_mean) || ' ± ' || printf('%.1f', epochs_std) as line from v_times ",
     ),
-    "log_early_stop": with_views("select task, model, seed, min(stop_epoch) stop_epoch, max(epoch) last_epoch from v_stopping group by task, model, seed",
+    "log_early_stop": with_views("select task, model, seed, coalesce(min(stop_epoch), max(epoch)) stop_epoch, min(stop_epoch) is not null"
+        " out_of_patience from v_stopping group by task, model, seed",
     ),
     "log_best_epoch": with_views("select task, model, seed, arg_max(epoch, metric*1000000-epoch) best_epoch, max(metric) metric from v_stopping"
         " where stop_epoch is null or epoch<=stop_epoch group by task, model, seed",

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,7 +13,19 @@ from corpusloom.functions import sequences as S
 from corpusloom.functions import text as T
 from corpusloom.functions import vectors as V
 from corpusloom.functions.arrays import unroll
-from corpusloom.operators import curation, encoding, evaluation, leaderboard, losses, pooling, sampling, svm, tfidf, training_log
+from corpusloom.operators import (
+    curation,
+    encoding,
+    evaluation,
+    hooks,
+    leaderboard,
+    losses,
+    pooling,
+    sampling,
+    svm,
+    tfidf,
+    training_log,
+)
 from corpusloom.operators.lookups import lookup_join
 from corpusloom.plans import views
 from corpusloom.plans.parameters import (
@@ -446,6 +459,19 @@ def text_identifiers(spark, folder):
     )
 
 
+def count_words(batch: pd.DataFrame) -> pd.DataFrame:
+    """Stand-in for a user's tokenizer."""
+    tokens = batch["text"].str.split()
+    return pd.DataFrame({"n_tokens": tokens.str.len(), "last_token": tokens.str[-1].fillna("")})
+
+
+@query
+def text_batched_map(spark, folder):
+    """A user's batch function over all documents."""
+    docs = views.documents(spark, folder).select("doc_id", "text")
+    return hooks.map_batches(docs, count_words, "n_tokens bigint, last_token string").drop("text")
+
+
 # --- features ----------------------------------------------------------------
 
 

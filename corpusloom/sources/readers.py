@@ -62,7 +62,7 @@ def read_keyed_lines(spark: SparkSession, glob: str) -> DataFrame:
     One file is one document, so a file per row keeps line numbers exact.
     """
     content = F.regexp_replace("value", r"\r\n?", "\n")
-    files = spark.read.option("wholetext", True).text(glob).select(
+    files = spark.read.text(glob, wholetext=True).select(
         file_stem(F.col("_metadata.file_name")).alias("key"),
         F.split(F.regexp_replace(content, r"\n\z", ""), "\n").alias("lines"),
         (F.length("value") > 0).alias("filled"),
@@ -75,8 +75,7 @@ def read_annotation_sets(spark: SparkSession, root: str, folders: list[str]) ->
     content = F.regexp_replace("value", r"\r\n?", "\n")
     number = F.array_position(F.array(*[F.lit(f) for f in folders]), F.element_at(F.split("path", "/"), -2))
     files = (
-        spark.read.option("wholetext", True)
-        .text([f"{root}/{folder}/*.txt" for folder in folders])
+        spark.read.text([f"{root}/{folder}/*.txt" for folder in folders], wholetext=True)
         .select("value", F.col("_metadata.file_path").alias("path"))
         .select(
             file_stem(F.col("path")).alias("key"),
