@@ -36,17 +36,13 @@ def top_labels(rows: DataFrame, labels: str, k: int = 100) -> DataFrame:
 def keep_single_label(rows: DataFrame, labels: str, allowed: DataFrame) -> DataFrame:
     """Rows with exactly one allowed label, their list reduced to it.
 
-    ``allowed`` is a top-k result (column ``label``), so its set is bounded by k
-    and reaches the rows as one scalar value instead of a join.
+    ``allowed`` is a top-k result (column ``label``): its k values are read once
+    and reach the rows as a constant, so no join is needed.
     """
-    allowed_set = allowed.agg(F.collect_set("label")).scalar()
-    return (
-        rows.withColumn("_allowed", allowed_set)
-        .where(F.arrays_overlap(labels, "_allowed"))
-        .withColumn(labels, F.array_sort(F.array_intersect(labels, "_allowed")))
-        .where(F.size(labels) == 1)
-        .drop("_allowed")
-    )
+    names = [row["label"] for row in allowed.select("label").collect()]
+    constant = F.array(*[F.lit(name) for name in names]).cast("array<string>")
+    kept = F.sort_array(F.array_intersect(labels, constant))
+    return rows.where(F.arrays_overlap(labels, constant)).withColumn(labels, kept).where(F.size(labels) == 1)
 
 
 def rows_with_labels(rows: DataFrame, labels: str, id_column: str, allowed: DataFrame) -> DataFrame:
@@ -86,26 +82,33 @@ def chronological_splits(groups: DataFrame, order: Sequence[str], n_train: int,
     )
 
 
-def label_lists(
-    sentences: DataFrame, annotations: DataFrame, keys: Sequence[str], names: Sequence[str] = CLAUSE_LABELS
-) -> DataFrame:
-    """Positional join: each sentence with the names of its positive annotations.
+def label_bits(annotations: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """(keys, _bits): the positive label types of each position packed into one number.
 
-    ``annotations`` holds ``keys``, ``label_type`` (0-based) and ``value``; a line
-    is positive when its value is ``1``. The labels of one position are packed
-    into the bits of one number before the shuffle, then joined once.
+    A line is positive when its value is ``1``. Packing happens before the shuffle,
+    so one small row per labelled position moves.
     """
-    packed = (
+    return (
         annotations.where(F.col("value") == "1")
         .groupBy(*keys)
         .agg(F.bit_or(F.expr("shiftleft(1L, label_type)")).alias("_bits"))
     )
-    chosen = [
-        F.when(F.col("_bits").bitwiseAND(F.lit(1 << i)) != 0, F.lit(name))
-        for i, name in enumerate(names)
-    ]
+
+
+def has_label(i: int) -> Column:
+    return F.coalesce(F.col("_bits").bitwiseAND(F.lit(1 << i)) != 0, F.lit(False))
+
+
+def label_lists(
+    sentences: DataFrame, annotations: DataFrame, keys: Sequence[str], names: Sequence[str] = CLAUSE_LABELS
+) -> DataFrame:
+    """Positional join: each sentence with the names of its positive annotations.
+
+    ``annotations`` holds ``keys``, ``label_type`` (0-based) and ``value``.
+    """
+    chosen = [F.when(has_label(i), F.lit(name)) for i, name in enumerate(names)]
     return (
-        sentences.join(packed, list(keys), "left")
+        sentences.join(label_bits(annotations, keys), list(keys), "left")
         .withColumn("labels", F.array_compact(F.array(*chosen)))
         .drop("_bits")
     )
@@ -122,21 +125,19 @@ def annotation_summary(
     """Counts as (measure, n): sentences, positives per label, two notions of unannotated.
 
     ``sentences minus annotations`` counts a sentence with two labels twice;
-    ``without annotation`` is the true number.
+    ``without annotation`` is the true number. All counts come from one join and
+    one aggregation.
     """
-    positives = annotations.where(F.col("value") == "1")
-    label_name = F.element_at(F.array(*[F.lit(n) for n in names]), F.col("label_type") + 1)
-    per_label = positives.groupBy(label_name.alias("measure")).agg(F.count("*").alias("n"))
-    n_sentences = sentences.agg(F.count("*").alias("n"))
-    bare = unlabelled(sentences, positives, keys).agg(F.count("*").alias("n"))
-    total = n_sentences.select(F.lit("sentences").alias("measure"), "n")
-    gap = positives.agg((n_sentences.scalar() - F.count("*")).alias("n"))
-    return (
-        total.unionByName(per_label)
-        .unionByName(positives.agg(F.count("*").alias("n")).select(F.lit("annotations").alias("measure"), "n"))
-        .unionByName(gap.select(F.lit("sentences minus annotations").alias("measure"), "n"))
-        .unionByName(bare.select(F.lit("without annotation").alias("measure"), "n"))
+    marked = sentences.select(*keys).join(label_bits(annotations, keys), list(keys), "left")
+    n_labels = F.coalesce(F.bit_count("_bits"), F.lit(0))
+    counts = marked.agg(
+        F.count("*").alias("sentences"),
+        *[F.count_if(has_label(i)).alias(name) for i, name in enumerate(names)],
+        F.coalesce(F.sum(n_labels), F.lit(0)).alias("annotations"),
+        (F.count("*") - F.coalesce(F.sum(n_labels), F.lit(0))).alias("sentences minus annotations"),
+        F.count_if(F.col("_bits").isNull()).alias("without annotation"),
     )
+    return counts.unpivot([], [F.col(f"`{c}`") for c in counts.columns], "measure", "n")
 
 
 def well_formed(line: Column) -> Column:
@@ -162,14 +163,13 @@ def dataset_card(tasks: DataFrame) -> DataFrame:
     ``tasks`` holds ``task``, ``split`` and ``labels`` (a list; one entry for
     single-label tasks).
     """
-    counts = tasks.groupBy("task").agg(
-        F.count_if(F.col("split") == "train").alias("train"),
-        F.count_if(F.col("split") == "validation").alias("validation"),
-        F.count_if(F.col("split") == "test").alias("test"),
+    examples = tasks.select("task", "split", F.posexplode_outer("labels").alias("_i", "label"))
+    once = F.coalesce(F.col("_i") == 0, F.lit(True))
+    splits = ("train", "validation", "test")
+    # one row per task and label, where the first label of a row counts the example
+    per_label = examples.groupBy("task", "label").agg(
+        *[F.count_if(once & (F.col("split") == split)).alias(split) for split in splits]
     )
-    classes = (
-        tasks.select("task", F.explode("labels").alias("label"))
-        .groupBy("task")
-        .agg(F.count_distinct("label").alias("n_classes"))
+    return per_label.groupBy("task").agg(
+        *[F.sum(split).alias(split) for split in splits], F.count("label").alias("n_classes")
     )
-    return counts.join(classes, "task", "left").withColumn("n_classes", F.coalesce("n_classes", F.lit(0)))

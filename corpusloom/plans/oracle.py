@@ -255,8 +255,8 @@ ORACLE = {
         " left join v_label_names n on n.label_type=a.label_type group by s.company, s.doc_id, s.line_no",
     ),
     "curate_annotation_counts": with_views("select 'sentences' as measure, count(*) n from v_sentences union all"
-        " select label_name, count(*) from v_annotations a join v_label_names n on a.label_type=n.label_type"
-        " where value='1' group by label_name union all"
+        " select label_name, count(a.value) from v_label_names n left join v_annotations a on a.label_type=n.label_type"
+        " and a.value='1' group by label_name union all"
         " select 'annotations', count(*) from v_annotations where value='1' union all"
         " select 'sentences minus annotations', (select count(*) from v_sentences )-count(*) from v_annotations where value='1'"
         " union all select 'without annotation', count(*) from v_sentences s where not exists (select 1 from v_annotations a"

@@ -91,7 +91,7 @@ def orders_brands(spark: SparkSession, folder: str) -> DataFrame:
     labels = (
         lookup_join(lines, brands, "l_partkey", spread_by=["l_orderkey"])
         .groupBy(F.col("l_orderkey").alias("o_orderkey"))
-        .agg(F.array_sort(F.collect_set("p_brand")).alias("labels"))
+        .agg(F.sort_array(F.collect_set("p_brand")).alias("labels"))
     )
     orders = table(spark, folder, "orders").select(
         "o_orderkey", F.year("o_orderdate").cast("string").alias("year")

@@ -67,7 +67,7 @@ def test_positional_labels_and_counts(spark):
         [("x", i, t, "1" if (i, t) in marks else "0") for i in range(4) for t in range(3)],
         "company string, line_no int, label_type int, value string",
     )
-    names = ["A", "B", "C"]
+    names = ["A", "B", "C", "D"]
     got = {r["line_no"]: r["labels"] for r in C.label_lists(sentences, annotations, keys, names).collect()}
     assert got == {0: ["A", "C"], 1: [], 2: ["B"], 3: []}
     counts = {r["measure"]: r["n"] for r in C.annotation_summary(sentences, annotations, keys, names).collect()}
@@ -76,6 +76,7 @@ def test_positional_labels_and_counts(spark):
         "A": 1,
         "B": 1,
         "C": 1,
+        "D": 0,
         "annotations": 3,
         "sentences minus annotations": 1,
         "without annotation": 2,
