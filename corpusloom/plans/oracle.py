@@ -415,7 +415,7 @@ ORACLE = {
     "io_choice_csv": with_views(rf"""select doc_id, cast(choice as int) choice,
           cast(len(regexp_extract_all(context || ' ' || ending, '{WORD_PATTERN}')) as int) n_words
         from (select *, sum(length('"' || replace(ending,'"','""') || '",')) over (partition by doc_id) + length(doc_id::varchar)
-            + length('"' || replace(regexp_replace(context, '[\r\n]+', ' ', 'g'),'"','""') || '"') + 1 + 1 as n_line
+            + length('"' || replace(regexp_replace(context, '[\r\n]+', ' ', 'g'),'"','""') || '"') + 3 as n_line
           from (select doc_id, context, choice, regexp_replace(ending, '[\r\n]+', ' ', 'g') ending from v_choice ))
         where n_line+1<5000""",
     ),

@@ -151,9 +151,13 @@ def test_lookup_join_gives_the_same_rows_on_every_path(spark):
     facts = spark.range(3_000).select("id", F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id") % 50).alias("k"))
     lookup = spark.range(40).select(F.col("id").alias("k"), (F.col("id") * 2).alias("v"))
     assert fits_broadcast(lookup, 40) and not fits_broadcast(lookup, 39)
+    texts = lookup.select("k", F.repeat(F.lit("é"), 100).alias("t"), F.array("k").alias("a"))
+    assert fits_broadcast(texts, max_bytes=40 * 300) and not fits_broadcast(texts, max_bytes=40 * 200)
+    with pytest.raises(ValueError):
+        lookup_join(facts, lookup, "k", "full")
     for how in ("inner", "left"):
         small = sorted(map(tuple, lookup_join(facts, lookup, "k", how, ["id"]).select("id", "k", "v").fillna(-1).collect()))
         salted = lookup_join(facts, lookup, "k", how, ["id"], max_rows=10)
-        plain = lookup_join(facts, lookup, "k", how, max_rows=10)
+        plain = lookup_join(facts, lookup, "k", how, max_bytes=10)
         assert sorted(map(tuple, salted.select("id", "k", "v").fillna(-1).collect())) == small
         assert sorted(map(tuple, plain.select("id", "k", "v").fillna(-1).collect())) == small
