@@ -119,14 +119,24 @@ def without_stop_words(tokens: Column, stop_words: Sequence[str] = ENGLISH_STOP_
     return F.filter(tokens, lambda t: ~t.isin(*stop_words))
 
 
+def only_members(items: Column, members: Sequence[str] | None) -> Column:
+    """Items outside the member list become null, positions stay; None keeps all."""
+    if members is None:
+        return items
+    return F.transform(items, lambda x: F.when(x.isin(*members), x))
+
+
 def next_grams(shorter: Column, tokens: Column, n: int) -> Column:
-    """Space-joined n-grams from the (n-1)-grams of the same tokens.
+    """Space-joined n-grams from the (n-1)-grams of the same tokens, by position.
 
-    Linear in the number of tokens; empty when there are fewer than n.
+    An n-gram is null where one of its two (n-1)-grams is. Linear in the number of
+    tokens; empty when there are fewer than n.
     """
     count = F.greatest(F.size(tokens) - F.lit(n - 1), F.lit(0))
-    return F.zip_with(
+    start = F.zip_with(
         F.slice(shorter, F.lit(1), count),
-        F.slice(tokens, F.lit(n), count),
-        lambda gram, token: F.concat_ws(" ", gram, token),
+        F.slice(shorter, F.lit(2), count),
+        lambda first, second: F.when(second.isNotNull(), first),
     )
+    last = F.slice(tokens, F.lit(n), count)
+    return F.zip_with(start, last, lambda gram, token: F.concat(gram, F.lit(" "), token))

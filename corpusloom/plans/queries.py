@@ -475,14 +475,14 @@ def text_batched_map(spark, folder):
 # --- features ----------------------------------------------------------------
 
 
-def documents_with_ngrams(spark: SparkSession, folder: str) -> DataFrame:
-    return tfidf.with_ngrams(views.documents(spark, folder).select("doc_id", "text"), "text")
+def documents_with_tokens(spark: SparkSession, folder: str) -> DataFrame:
+    return tfidf.with_tokens(views.documents(spark, folder).select("doc_id", "text"), "text")
 
 
 @query
 def tfidf_ngram_counts(spark, folder):
     """Terms and distinct terms (1- to 3-grams) per document."""
-    docs = documents_with_ngrams(spark, folder)
+    docs = tfidf.with_ngrams(documents_with_tokens(spark, folder))
     return docs.select(
         "doc_id", F.size("terms").alias("n_terms"), F.size(F.array_distinct("terms")).alias("n_distinct")
     )
@@ -490,19 +490,19 @@ def tfidf_ngram_counts(spark, folder):
 
 @query
 def tfidf_vocabulary(spark, folder):
-    return tfidf.vocabulary(documents_with_ngrams(spark, folder), MAX_FEATURES).select("index", "term", "tf", "df")
+    return tfidf.vocabulary(documents_with_tokens(spark, folder), MAX_FEATURES).select("index", "term", "tf", "df")
 
 
 @query
 def tfidf_idf(spark, folder):
-    vocabulary = tfidf.vocabulary(documents_with_ngrams(spark, folder), MAX_FEATURES)
+    vocabulary = tfidf.vocabulary(documents_with_tokens(spark, folder), MAX_FEATURES)
     return rounded(vocabulary.select("term", "idf"), "idf")
 
 
 @query
 def tfidf_weights(spark, folder):
     """L2-normalised weights of every document."""
-    weights = tfidf.term_weights(documents_with_ngrams(spark, folder), "doc_id", MAX_FEATURES)
+    weights = tfidf.term_weights(documents_with_tokens(spark, folder), "doc_id", MAX_FEATURES)
     return rounded(weights, "weight")
 
 

@@ -25,7 +25,7 @@ def texts():
 @pytest.fixture(scope="module")
 def docs(spark, texts):
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
-    return tfidf.with_ngrams(df, "text")
+    return tfidf.with_tokens(df, "text")
 
 
 def grams(text):
@@ -51,6 +51,21 @@ def test_vocabulary_and_idf(docs, texts):
         assert (r["tf"], r["df"], r["idf"]) == pytest.approx(expected[r["term"]])
 
 
+@pytest.mark.parametrize("size", [1, 3, 8, 15, 200, 5000])
+def test_pruned_counting_finds_the_same_vocabulary(docs, texts, size):
+    # small sizes cut among ties, where the ties may exceed what one length may return
+    got = {r["term"]: (r["tf"], r["df"]) for r in tfidf.vocabulary(docs, size).collect()}
+    assert got == {t: (tf, df) for t, (tf, df, _) in brute_vocabulary(texts, size).items()}
+
+
+def test_ties_beyond_the_bound_switch_pruning_off(spark):
+    # twelve words, all equally frequent: more ties than twice the vocabulary
+    texts = [" ".join(chr(97 + (i + j) % 12) * 2 for j in range(12)) for i in range(12)]
+    df = tfidf.with_tokens(spark.createDataFrame([(t,) for t in texts], "text string"), "text")
+    got = {r["term"]: (r["tf"], r["df"]) for r in tfidf.vocabulary(df, 3).collect()}
+    assert got == {t: (tf, n) for t, (tf, n, _) in brute_vocabulary(texts, 3).items()}
+
+
 def test_weights_are_normalised_per_document(docs, texts):
     vocabulary = brute_vocabulary(texts, 40)
     got = {(r["doc_id"], r["term"]): r["weight"] for r in tfidf.term_weights(docs, "doc_id", 40).collect()}

@@ -53,11 +53,11 @@ def test_terms_match_the_word_pattern(values):
 
 
 def test_stop_words_and_ngrams(spark):
-    from corpusloom.operators.tfidf import with_ngrams
+    from corpusloom.operators.tfidf import with_ngrams, with_tokens
 
     texts = ["the cat sat on the mat", "", "cat", "cat dog", "a very big red dog ran", "the the"]
     df = spark.createDataFrame(list(enumerate(texts)), "i int, text string")
-    got = {r["i"]: r["terms"] for r in with_ngrams(df, "text").collect()}
+    got = {r["i"]: r["terms"] for r in with_ngrams(with_tokens(df, "text")).collect()}
     for i, text in enumerate(texts):
         toks = [t for t in re.findall(r"\w\w+", text) if t not in set(T.ENGLISH_STOP_WORDS)]
         grams = [" ".join(toks[j : j + n]) for n in (1, 2, 3) for j in range(len(toks) - n + 1)]
