@@ -55,18 +55,18 @@ def geometric_mean(x: Column) -> Column:
     return F.when(F.count_if(x == 0) > 0, F.lit(0.0)).otherwise(F.exp(F.avg(F.log(F.when(x > 0, x)))))
 
 
-def expected_runs(spark: SparkSession, models: Sequence, tasks: Sequence, seeds: Sequence[int]) -> DataFrame:
-    """Every (model, task, seed) that should exist."""
+def one_of(items: Sequence) -> Column:
+    return F.explode(F.array(*[F.lit(x) for x in items]))
 
-    def values(items: Sequence) -> Column:
-        return F.explode(F.array(*[F.lit(x) for x in items]))
 
-    return (
-        spark.range(1)
-        .select(values(models).alias("model"))
-        .select("model", values(tasks).alias("task"))
-        .select("model", "task", values(seeds).alias("seed"))
-    )
+def expected_pairs(spark: SparkSession, models: Sequence, tasks: Sequence) -> DataFrame:
+    """Every (model, task) that should have scores."""
+    return spark.range(1).select(one_of(models).alias("model")).select("model", one_of(tasks).alias("task"))
+
+
+def expected_runs(spark: SparkSession, models: Sequence, tasks: Sequence, seeds: Sequence[int]) -> DataFrame:
+    """Every (model, task, seed) that should exist."""
+    return expected_pairs(spark, models, tasks).select("model", "task", one_of(seeds).alias("seed"))
 
 
 def missing_runs(expected: DataFrame, runs: DataFrame) -> DataFrame:
@@ -75,9 +75,9 @@ def missing_runs(expected: DataFrame, runs: DataFrame) -> DataFrame:
 
 
 def task_scores(expected: DataFrame, runs: DataFrame, k: int = 1, metric: str = "eval_macro_f1") -> DataFrame:
-    """Mean score over the best ``k`` seeds for every expected (model, task); null without runs."""
+    """Mean score over the best ``k`` seeds for every (model, task) of ``expected``; null without runs."""
     means = top_seeds(runs, k, metric).groupBy(*RUN).agg(*[F.avg(s).alias(s) for s in SCORES])
-    return expected.select(*RUN).distinct().join(means, list(RUN), "left")
+    return expected.join(means, list(RUN), "left")
 
 
 def mean_scores(scores: DataFrame) -> DataFrame:

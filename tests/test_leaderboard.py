@@ -39,7 +39,7 @@ def test_published_averages(spark):
         pairs = list(zip(numbers[0:12:2], numbers[1:12:2])) + [(numbers[12], numbers[12])]
         rows += [(model, t, 1, micro, macro, micro, macro) for t, (micro, macro) in enumerate(pairs)]
     runs = spark.createDataFrame(rows, ["model", "task", "seed", *B.SCORES])
-    expected = B.expected_runs(spark, list(TASK_SCORES), list(range(7)), [1])
+    expected = B.expected_pairs(spark, list(TASK_SCORES), list(range(7)))
     means = B.mean_scores(B.task_scores(expected, runs)).collect()
     got = {(r["model"], r["measure"]): r for r in means}
     checked = 0
@@ -92,7 +92,7 @@ def test_missing_runs_and_models_without_a_task(spark, runs):
     assert missing == {("a", "u", 2), ("b", "t", 1), ("b", "t", 2), ("b", "u", 2)} | {
         ("c", t, s) for t in "tu" for s in (1, 2)
     }
-    means = {r["model"]: r for r in B.mean_scores(B.task_scores(expected, runs)).where("measure='predict_micro_f1'").collect()}
+    means = {r["model"]: r for r in B.mean_scores(B.task_scores(B.expected_pairs(spark, ["a", "b", "c"], ["t", "u"]), runs)).where("measure='predict_micro_f1'").collect()}
     assert means["c"]["arithmetic"] is None
     # one score of 0 makes both other means 0
     assert (means["b"]["arithmetic"], means["b"]["harmonic"], means["b"]["geometric"]) == (0.25, 0.0, 0.0)
@@ -104,7 +104,7 @@ def test_harmonic_mean_rejects_negative_scores(spark):
 
 
 def test_table_and_lines(spark, runs):
-    expected = B.expected_runs(spark, ["a", "b", "c"], ["t", "u"], [1])
+    expected = B.expected_pairs(spark, ["a", "b", "c"], ["t", "u"])
     table = B.score_table(B.task_scores(expected, runs), ["t", "u"])
     names = spark.createDataFrame([("a", "Same"), ("b", "Same")], "model string, name string")
     lines = {r["model"]: r["line"] for r in B.table_lines(B.with_display_name(table, names), "name", ["t", "u"]).collect()}
