@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -9,12 +11,36 @@ from pyspark.sql import functions as F
 SPLITTER = 134217729.0
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def _halves(x: Column) -> tuple[Column, Column]:
     scaled = x * F.lit(SPLITTER)
     high = scaled - (scaled - x)
     return high, x - high
 
 
+def _rounded_units(magnitude: Column, scale: float) -> Column:
+    """magnitude * scale to the nearest whole number, exact ties to the even one."""
+    high, low = _halves(magnitude)
+    scale_high = (scale * SPLITTER) - (scale * SPLITTER - scale)
+    scale_low = scale - scale_high
+
+    def decide(product: Column) -> Column:
+        # the rounding error of the product, from the products of the halves
+        error = low * F.lit(scale_low) - (
+            ((product - high * F.lit(scale_high)) - low * F.lit(scale_high)) - high * F.lit(scale_low)
+        )
+        whole = F.floor(product)
+        part = product - whole
+        tie_up = (error > 0) | ((error == 0) & (whole % 2 == 1))
+        return whole + ((part > 0.5) | ((part == 0.5) & tie_up)).cast("bigint")
+
+    return _let(magnitude * F.lit(scale), decide)
+
+
 def fixed(x: Column, digits: int) -> Column:
     """``%.{digits}f``: the exact binary value, rounded half to even.
 
@@ -22,30 +48,22 @@ def fixed(x: Column, digits: int) -> Column:
     72.3, not 72.2). The product x * 10^digits is taken with its exact rounding
     error, so a product that lands on one half is decided by the true value.
     """
-    x = x.cast("double")
     unit = 10**digits
-    scale = float(unit)
-    magnitude = F.abs(x)
-    product = magnitude * F.lit(scale)
-    x_high, x_low = _halves(magnitude)
-    scale_high = (scale * SPLITTER) - (scale * SPLITTER - scale)
-    scale_low = scale - scale_high
-    error = x_low * F.lit(scale_low) - (
-        ((product - x_high * F.lit(scale_high)) - x_low * F.lit(scale_high)) - x_high * F.lit(scale_low)
-    )
-    whole = F.floor(product)
-    part = product - whole
-    up = (part > 0.5) | ((part == 0.5) & ((error > 0) | ((error == 0) & (whole % 2 == 1))))
-    units = whole + up.cast("bigint")
-    # only the printed form tells -0.0 from 0.0
-    negative = F.when(x == 0, x.cast("string").startswith("-")).otherwise(x < 0)
-    sign = F.when(negative, "-").otherwise("")
-    if digits == 0:
-        number = units.cast("string")
-    else:
+
+    def number(units: Column) -> Column:
+        if digits == 0:
+            return units.cast("string")
         fraction = F.lpad((units % unit).cast("string"), digits, "0")
-        number = F.concat(F.floor(units / F.lit(unit)).cast("string"), F.lit("."), fraction)
-    return F.when(F.isnan(x), F.lit("nan")).otherwise(F.concat(sign, number))
+        return F.concat(F.floor(units / F.lit(unit)).cast("string"), F.lit("."), fraction)
+
+    def text(value: Column) -> Column:
+        # only the printed form tells -0.0 from 0.0
+        negative = F.when(value == 0, value.cast("string").startswith("-")).otherwise(value < 0)
+        sign = F.when(negative, "-").otherwise("")
+        digits_text = _let(_rounded_units(F.abs(value), float(unit)), number)
+        return F.when(F.isnan(value), F.lit("nan")).otherwise(F.concat(sign, digits_text))
+
+    return _let(x.cast("double"), text)
 
 
 def percent(x: Column) -> Column:
