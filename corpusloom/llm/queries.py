@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import packing, quality_rules, sharding
+from corpusloom.llm import jaccard_join, packing, quality_rules, sharding
 
 #: Shards of the sharding query; ``grown_shard`` is with one more.
 SHARDS = 8
@@ -38,6 +38,11 @@ def op6_jump_hash(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op8_partenum(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document's set size and component of near copies."""
+    return jaccard_join.join(table(spark, folder, "documents"), "doc_id", "text")
+
+
 def op10_tokeniser_fertility(spark: SparkSession, folder: str) -> DataFrame:
     """Base counts, fertility figures and verdict of every document."""
     judged = quality_rules.judge(table(spark, folder, "documents"), "text", keep=["doc_id"])
@@ -54,5 +59,5 @@ def op10_tokeniser_fertility(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_best_fit_packing, op6_jump_hash, op10_tokeniser_fertility)
+    f.__name__: f for f in (op1_best_fit_packing, op6_jump_hash, op8_partenum, op10_tokeniser_fertility)
 }
