@@ -7,8 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import jaccard_join, packing, quality_rules, sharding
+from corpusloom.llm import compression_quality, decontamination, jaccard_join, packing, quality_rules, sharding, toxicity
+from corpusloom.llm.calibration import fold
 
+#: Scores from which a text counts as toxic, and as good.
+TOXIC, GOOD = 0.7, 0.3
 #: Shards of the sharding query; ``grown_shard`` is with one more.
 SHARDS = 8
 
@@ -25,6 +28,49 @@ def op1_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
+def op2_kneser_ney(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document's toxicity; labels of one fold in three are held out."""
+    docs = table(spark, folder, "documents")
+    model = toxicity.fit(docs, table(spark, folder, "labels"), fold(F.col("key"), 3) != 1)
+    scored = toxicity.score(docs, model, "text", ["doc_id"])
+    return scored.select(
+        "row.doc_id",
+        (fold(F.col("row.doc_id"), 3) == 1).alias("held_out"),
+        "out.score",
+        F.when(F.col("out.score") >= TOXIC, 1).otherwise(0).alias("predicted"),
+        "out.mean_ratio",
+        "out.peak_ratio",
+    )
+
+
+def op4_string_tiling(spark: SparkSession, folder: str) -> DataFrame:
+    """Every pair of a document and a benchmark item that it leaks."""
+    found = decontamination.find(
+        table(spark, folder, "documents"), table(spark, folder, "benchmark"), keep=["doc_id"]
+    )
+    return found.select("row.doc_id", F.explode("found").alias("leak")).select(
+        "doc_id",
+        F.col("leak.item").alias("item_id"),
+        F.col("leak.covered").alias("covered"),
+        F.col("leak.tokens").alias("tokens"),
+        F.col("leak.tiles").alias("tiles"),
+    )
+
+
+def op5_compression(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document's quality; labels of one fold in five are held out."""
+    docs = table(spark, folder, "documents")
+    model = compression_quality.fit(docs, table(spark, folder, "labels"), fold(F.col("key"), 5) != 0)
+    scored = compression_quality.score(docs, model, "text", ["doc_id"])
+    return scored.select(
+        "row.doc_id",
+        (fold(F.col("row.doc_id"), 5) == 0).alias("held_out"),
+        "out.score",
+        F.when(F.col("out.score") >= GOOD, 1).otherwise(0).alias("predicted"),
+        "out.figure",
+    )
+
+
 def op6_jump_hash(spark: SparkSession, folder: str) -> DataFrame:
     """Every document's shard of 8, its slot there, and its shard of 9."""
     text = F.coalesce(F.col("text"), F.lit(""))
@@ -59,5 +105,5 @@ def op10_tokeniser_fertility(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_best_fit_packing, op6_jump_hash, op8_partenum, op10_tokeniser_fertility)
+    f.__name__: f for f in (op1_best_fit_packing, op2_kneser_ney, op4_string_tiling, op5_compression, op6_jump_hash, op8_partenum, op10_tokeniser_fertility)
 }
