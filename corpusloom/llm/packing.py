@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from corpusloom.llm.ship import ship
 from corpusloom.llm.texts import MAX_WORDS, column, per_text
 from corpusloom.llm.vocabularies import public_path
 from corpusloom.sources.cache import spool
@@ -231,6 +232,7 @@ def pack(
     """
     if rule not in ("norm", "dot"):
         raise ValueError(f"rule must be norm or dot, not {rule}")
+    ship(pieces.sparkSession)
     documents, attention = max_documents or capacity, max_attention or capacity * capacity
     if documents < 1:
         raise ValueError("a sequence must take a document")

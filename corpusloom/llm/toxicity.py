@@ -1,16 +1,16 @@
 """Toxicity by class-conditional Kneser-Ney language models.
 
-Two models of the letters of words, one per class, give every expression a toxic and an
-ordinary log-likelihood. Orders from ``SHARED`` to ``ORDER`` are interpolated
-Kneser-Ney per class; below, both classes share one distribution over continuation
-counts, so a rare expression is judged by the letters it is made of and not by having
-been seen once. The difference of the log-likelihoods per letter is taken over the
-whole text and over its most suspicious window of ``WINDOW`` words; a logistic curve
-fitted on labelled rows that gave no counts makes them a score.
-
-Counts come from all labelled rows set apart for them. Each task counts distinct
-words, then the n-grams of those; Spark adds them up. The model sent to the tasks has
-a fixed size: n-grams and contexts are hashed to ``BUCKETS`` places.
+One model per class gives every expression (a word without case and edges) a toxic and
+an ordinary log-likelihood: its discounted count in the class, and for the rest of the
+mass a backoff distribution that both classes share. The backoff is Kneser-Ney's, the
+number of different contexts an expression stands in, here texts of either class, so
+one that is rare in both is told by neither; a text that repeats itself counts once. The difference of the two log-likelihoods per word, over the whole text and
+over its highest windows of ``WINDOWS`` words, becomes a score by a logistic curve
+fitted on labelled rows that gave no counts.
+
+Counts come from all labelled rows but those. A task counts the distinct words of its
+texts, Spark adds them up, and the model sent to the tasks has a fixed size:
+expressions are hashed to ``BUCKETS`` places. Scoring is one pass without a shuffle.
 """
 
 from __future__ import annotations
@@ -20,6 +20,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -29,231 +30,149 @@ from corpusloom.llm.ship import ship
 from corpusloom.llm.texts import MAX_WORDS, SLICE, Grown, WordIds, per_text
 from corpusloom.sources.cache import spool
 
-ORDER = 5
-SHARED = 2
-DISCOUNT = 0.75
-WINDOW = 2
-BUCKETS = 1 << 20
+#: Taken off every count and given to the backoff.
+DISCOUNT = 2.0
+WINDOWS = (1, 3, 10)
+BITS = 22
+BUCKETS = 1 << BITS
 #: Rows the curve is fitted on, at most; one in ``CURVE_SHARE`` labelled rows is set apart for it.
 CURVE = 20_000
 CURVE_SHARE = 5
 
 M = np.uint64
 _EDGE = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
-FIGURES = T.StructType([T.StructField(f, T.DoubleType(), False) for f in ("mean_ratio", "peak_ratio")])
+NAMES = ("mean_ratio", *[f"peak_{w}" for w in WINDOWS])
+FIGURES = T.StructType([T.StructField(f, T.DoubleType(), False) for f in NAMES])
 SCORE = T.StructType([*FIGURES.fields, T.StructField("score", T.DoubleType(), False)])
-GRAMS = "grade int, gram bigint, context bigint, suffix bigint, suffix_context bigint, ordinary bigint, toxic bigint"
+COUNTED = "place bigint, ordinary bigint, toxic bigint"
 
 
 class Model(NamedTuple):
-    """Tables by bucket: counts of n-grams, of contexts and of context types per class; shared continuations."""
+    """Toxic minus ordinary log-likelihood by place, and the weights of the curve."""
 
-    grams: np.ndarray
-    contexts: np.ndarray
-    types: np.ndarray
-    shared: np.ndarray
+    ratios: np.ndarray
     weights: tuple[float, ...] = ()
 
 
-def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> M(33))) * M(0xFF51AFD7ED558CCD)
-    x = (x ^ (x >> M(33))) * M(0xC4CEB9FE1A85EC53)
-    return x ^ (x >> M(33))
-
-
-class Letters:
-    """The letters of many words in a row, closed by marks, and the hashes of all their n-grams."""
-
-    def __init__(self, words: list[bytes]) -> None:
-        marked = [b"\x01" + w + b"\x02" for w in words]
-        lengths = np.fromiter(map(len, marked), np.int64, len(marked))
-        self.letters = np.frombuffer(b"".join(marked), np.uint8).astype(M)
-        starts = np.cumsum(lengths) - lengths
-        self.place = np.arange(len(self.letters)) - np.repeat(starts, lengths)
-        self.word = np.repeat(np.arange(len(words)), lengths)
-        self.hash = [_mix(self.letters + M(1))]
-        for k in range(1, ORDER + 1):
-            longer = np.zeros(len(self.letters), M)
-            longer[k:] = _mix(self.hash[-1][k:] * M(0x9E3779B97F4A7C15) + self.letters[:-k] + M(k))
-            self.hash.append(longer)
-
-    def at(self, k: int) -> np.ndarray:
-        """Places with k letters before them in the word; the opening mark is given."""
-        return np.flatnonzero(self.place >= max(k, 1))
-
-    def gram(self, k: int, at: np.ndarray) -> np.ndarray:
-        return _mix(self.hash[k][at] + M(2 * k))
-
-    def context(self, k: int, at: np.ndarray) -> np.ndarray:
-        before = self.hash[k - 1][at - 1] if k else np.zeros(len(at), M)
-        return _mix(before + M(2 * k + 1))
-
-
-def bucket(hashes: np.ndarray) -> np.ndarray:
-    return (hashes >> M(44)).astype(np.int64)
-
-
-def _bare(word: bytes) -> bytes:
-    return word.strip(_EDGE)
-
-
-def _count(words: list[bytes], counts: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """n-grams of the words with their counts per class."""
-    for start in range(0, len(words), 50_000):
-        some = words[start : start + 50_000]
-        letters, weight = Letters(some), counts[start : start + 50_000]
-        for k in range(ORDER + 1):
-            at = letters.at(k)
-            grams, first, inverse = np.unique(letters.gram(k, at), return_index=True, return_inverse=True)
-            heads = at[first]
-            shared = 1 <= k <= SHARED
-            suffix = letters.gram(k - 1, heads) if shared else np.zeros(len(heads), M)
-            suffix_context = letters.context(k - 1, heads) if shared else np.zeros(len(heads), M)
-            totals = [
-                np.bincount(inverse, weight[letters.word[at], c], len(grams)).astype(np.int64) for c in (0, 1)
-            ]
-            columns = [
-                np.full(len(grams), k, np.int32),
-                *[x.view(np.int64) for x in (grams, letters.context(k, heads), suffix, suffix_context)],
-                *totals,
-            ]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(c) for c in columns], names=[part.split()[0] for part in GRAMS.split(", ")]
-            )
+class Expressions:
+    """Words of a worker, each with the number of its bare form (-1 if nothing is left) and that form's hash."""
+
+    def __init__(self) -> None:
+        self.words, self.bare = WordIds(), WordIds()
+        self.number, self.hashes = Grown(np.int64), Grown(M)
+
+    def of(self, text: bytes | None) -> np.ndarray:
+        """Numbers of the text's expressions, in order."""
+        ids = self.words.ids((text or b"").lower().split())
+        if self.words.fresh:
+            bare = [w.strip(_EDGE) for w in self.words.take_fresh()]
+            self.number.add([self.bare[w] if w else -1 for w in bare])
+            self.hashes.add([xxhash.xxh64_intdigest(w) for w in self.bare.take_fresh()])
+        numbers = self.number.values[ids]
+        return numbers[numbers >= 0]
 
 
-def count_grams(rows: DataFrame) -> DataFrame:
-    """(grade, gram, context, suffix, suffix_context, ordinary, toxic): n-gram counts of the rows (text, label)."""
+def place(hashes: np.ndarray) -> np.ndarray:
+    return (hashes >> M(64 - BITS)).astype(np.int64)
+
+
+def count(rows: DataFrame) -> DataFrame:
+    """(place, ordinary, toxic): how many texts of either class have an expression, of the rows (text, label)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, counts = WordIds(), np.zeros((0, 2))
+        known, counts = Expressions(), np.zeros((0, 2), np.int64)
 
-        def flush():
-            bare = [_bare(w) for w in words]
-            some = np.array([i for i, w in enumerate(bare) if w], np.int64)
-            return _count([bare[i] for i in some], counts[some])
+        def flush() -> pa.RecordBatch:
+            n = len(known.bare)
+            columns = [place(known.hashes.values), counts[:n, 0], counts[:n, 1]]
+            return pa.RecordBatch.from_arrays(
+                [pa.array(c, pa.int64()) for c in columns], names=["place", "ordinary", "toxic"]
+            )
 
         for batch in batches:
             for start in range(0, batch.num_rows, SLICE):
                 part = batch.slice(start, SLICE)
                 for text, label in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-                    ids = words.ids((text or b"").lower().split())
-                    words.take_fresh()
-                    if len(words) > len(counts):
-                        counts = np.concatenate([counts, np.zeros((max(len(words) - len(counts), len(counts)), 2))])
-                    seen, times = np.unique(ids, return_counts=True)
-                    counts[seen, label] += times
-                if len(words) > MAX_WORDS:
-                    yield from flush()
-                    words, counts = WordIds(), np.zeros((0, 2))
-        if len(words):
-            yield from flush()
-
-    found = rows.select(F.col("text").cast("binary").alias("text"), "label").mapInArrow(run, GRAMS)
-    return found.groupBy("grade", "gram").agg(
-        *[F.max(c).alias(c) for c in ("context", "suffix", "suffix_context")],
-        *[F.sum(c).alias(c) for c in ("ordinary", "toxic")],
-    )
-
-
-def _place(hash_column: str) -> Column:
-    return F.shiftrightunsigned(F.col(hash_column), 44)
-
-
-def _table(rows: DataFrame, key: str, *values: Column) -> np.ndarray:
-    """Sums by bucket as an array of ``BUCKETS`` columns: bounded whatever the rows."""
-    named = [F.sum(v).cast("double").alias(f"v{i}") for i, v in enumerate(values)]
-    found = rows.groupBy(_place(key).alias("place")).agg(*named).toArrow()
-    out = np.zeros((len(values), BUCKETS), np.float32)
-    for i in range(len(values)):
-        out[i, found.column("place").to_numpy()] = found.column(f"v{i}").to_numpy()
-    return out
-
-
-def tables(grams: DataFrame) -> Model:
-    """The model's tables of a fixed size from the n-gram counts."""
-    one = F.lit(1)
-    by_class = _table(grams, "gram", F.col("ordinary"), F.col("toxic"))
-    contexts = _table(
-        grams, "context", F.col("ordinary"), F.col("toxic"),
-        F.when(F.col("ordinary") > 0, 1).otherwise(0), F.when(F.col("toxic") > 0, 1).otherwise(0),
-    )
-    # an n-gram is one continuation of its suffix: how many letters come before it
-    longer = grams.where(F.col("grade").between(1, SHARED))
-    suffixes = _table(longer, "suffix", one)
-    suffix_contexts = _table(longer, "suffix_context", one)
-    kinds = _table(longer.select("suffix", "suffix_context").distinct(), "suffix_context", one)
-    return Model(by_class, contexts[:2], contexts[2:], np.concatenate([suffixes, suffix_contexts, kinds]))
-
-
-def word_ratios(words: list[bytes], model: Model) -> tuple[np.ndarray, np.ndarray]:
-    """Toxic minus ordinary log-likelihood, and number of letters, of each word without its edges."""
-    bare = [_bare(w) for w in words]
-    letters = Letters(bare)
-    likely = np.full((2, len(letters.letters)), 1 / 256)
-    for k in range(ORDER + 1):
-        at = letters.at(k)
-        gram, context = bucket(letters.gram(k, at)), bucket(letters.context(k, at))
-        for c in (0, 1):
-            if k < SHARED:
-                count, total, kinds = model.shared[0][gram], model.shared[1][context], model.shared[2][context]
-            else:
-                count, total, kinds = model.grams[c][gram], model.contexts[c][context], model.types[c][context]
-            below = likely[c, at]
-            spread = np.minimum(DISCOUNT * kinds, total) * below
-            found = (np.maximum(count - DISCOUNT, 0) + spread) / np.maximum(total, 1)
-            likely[c, at] = np.where(total > 0, found, below)
-    at = letters.at(0)
-    ratio = np.log(np.maximum(likely[1, at], 1e-30)) - np.log(np.maximum(likely[0, at], 1e-30))
-    sums = np.bincount(letters.word[at], ratio, len(words))
-    sizes = np.fromiter(map(len, bare), np.int64, len(bare))
-    return np.where(sizes > 0, sums, 0.0), np.where(sizes > 0, sizes + 1, 0)
-
-
-class WordRatios:
-    """Ratios and lengths per distinct word, worked out once per task."""
+                    numbers = known.of(text)
+                    if len(known.bare) > len(counts):
+                        more = max(len(known.bare), 2 * len(counts)) - len(counts)
+                        counts = np.concatenate([counts, np.zeros((more, 2), np.int64)])
+                    counts[np.unique(numbers), label] += 1
+                if len(known.words) > MAX_WORDS:
+                    yield flush()
+                    known, counts = Expressions(), np.zeros((0, 2), np.int64)
+        if len(known.bare):
+            yield flush()
+
+    ship(rows.sparkSession)
+    found = rows.select(F.col("text").cast("binary").alias("text"), "label").mapInArrow(run, COUNTED)
+    return found.groupBy("place").agg(F.sum("ordinary").alias("ordinary"), F.sum("toxic").alias("toxic"))
+
+
+def log_ratios(counts: np.ndarray) -> np.ndarray:
+    """Toxic minus ordinary log-likelihood by place from the counts (2, places)."""
+    pooled = counts.sum(axis=0)
+    # half a context for what was never seen, as much in all as for every place that was
+    shared = (pooled + 0.5) / (pooled.sum() + 0.5 * max(int((pooled > 0).sum()), 1))
+    logs = []
+    for c in (0, 1):
+        total = max(float(counts[c].sum()), 1.0)
+        kept = np.maximum(counts[c] - DISCOUNT, 0)
+        left = 1 - float(kept.sum()) / total
+        logs.append(np.log(kept / total + left * shared))
+    return (logs[1] - logs[0]).astype(np.float32)
+
+
+def table(counted: DataFrame) -> np.ndarray:
+    """The ratios by place: one bounded array, whatever the corpus."""
+    found = counted.select("place", "ordinary", "toxic").toArrow()
+    at = found.column("place").to_numpy()
+    counts = np.zeros((2, BUCKETS))
+    counts[0, at], counts[1, at] = found.column("ordinary").to_numpy(), found.column("toxic").to_numpy()
+    return log_ratios(counts)
+
+
+class Ratios:
+    """The figures of texts; ratios are looked up once per distinct word."""
 
     def __init__(self, model: Model) -> None:
-        self.model = model
+        self.table = model.ratios
         self.clear()
 
     def clear(self) -> None:
-        self.words, self.ratio, self.size = WordIds(), Grown(np.float64), Grown(np.int64)
+        self.known, self.ratio = Expressions(), Grown(np.float64)
+
+    def of(self, text: bytes | None) -> list[float]:
+        """Mean ratio over the text, and in its highest window of each size."""
+        numbers = self.known.of(text)
+        fresh = self.known.hashes.values[len(self.ratio.values) :]
+        if len(fresh):
+            self.ratio.add(self.table[place(fresh)])
+        if not len(numbers):
+            return [0.0] * len(NAMES)
+        sums = np.concatenate([[0.0], np.cumsum(self.ratio.values[numbers])])
+        found = [float(sums[-1] / len(numbers))]
+        for window in WINDOWS:
+            w = min(window, len(numbers))
+            found.append(float((sums[w:] - sums[:-w]).max() / w))
+        return found
 
     def figures(self, texts: list[bytes | None]) -> np.ndarray:
-        """Per text: ratio per letter over all of it, and in its highest window."""
-        if len(self.words) > MAX_WORDS:
+        if len(self.known.words) > MAX_WORDS:
             self.clear()
-        ids = [self.words.ids((t or b"").lower().split()) for t in texts]
-        fresh = self.words.take_fresh()
-        if fresh:
-            ratio, size = word_ratios(fresh, self.model)
-            self.ratio.add(ratio)
-            self.size.add(size)
-        return np.array([self._figures(i) for i in ids]).reshape(-1, 2)
-
-    def _figures(self, ids: np.ndarray) -> tuple[float, float]:
-        size = self.size.values[ids]
-        ids, size = ids[size > 0], size[size > 0]
-        if not len(ids):
-            return 0.0, 0.0
-        ratios = np.concatenate([[0], np.cumsum(self.ratio.values[ids])])
-        sizes = np.concatenate([[0], np.cumsum(size)])
-        w = min(WINDOW, len(ids))
-        peak = ((ratios[w:] - ratios[:-w]) / (sizes[w:] - sizes[:-w])).max()
-        return float(ratios[-1] / sizes[-1]), float(peak)
+        return np.array([self.of(t) for t in texts]).reshape(-1, len(NAMES))
 
 
 def _scored(docs: DataFrame, model: Model, text: str, keep: list[str] | None, with_score: bool) -> DataFrame:
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def kernel():
-        ratios = WordRatios(sent.value)
+        ratios = Ratios(sent.value)
         weights = np.array(sent.value.weights)
 
         def work(texts):
             figures = ratios.figures(texts)
-            out = {"mean_ratio": pa.array(figures[:, 0]), "peak_ratio": pa.array(figures[:, 1])}
+            out = {name: pa.array(figures[:, i]) for i, name in enumerate(NAMES)}
             if with_score:
                 out["score"] = pa.array(logistic(figures, weights))
             return out
@@ -277,18 +196,17 @@ def fit(
     One in ``CURVE_SHARE`` of them, by a hash of the key, gives no counts; of those at
     most ``curve`` rows fit the curve. Without labels every text scores alike.
     """
-    ship(docs.sparkSession)
     rows = labelled(docs, labels, key, text, label).where(learn)
     apart = F.pmod(F.xxhash64(F.lit(2), "key"), F.lit(CURVE_SHARE)) == 0
-    model = tables(spool(count_grams(rows.where(~apart))))
+    model = Model(table(count(rows.where(~apart))))
     held = spool(bounded(rows.where(apart), "key", curve, 21).select("label", "text"))
     figures = _scored(held, model, "text", ["label"], False).select("row.label", "out.*").toArrow()
-    x = np.stack([figures.column(c).to_numpy() for c in ("mean_ratio", "peak_ratio")], axis=1).astype(float)
+    x = np.stack([figures.column(c).to_numpy() for c in NAMES], axis=1).astype(float)
     return model._replace(weights=tuple(fit_logistic(x, figures.column("label").to_numpy().astype(float))))
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """(row, out): both figures and the score of every row's whole text, higher for label 1.
+    """(row, out): figures and score of every row's whole text, higher for label 1.
 
     A null or empty text, or one of punctuation alone, has the figures 0. Repeated rows
     and ties score alike; columns named like a result stay in ``row``.
