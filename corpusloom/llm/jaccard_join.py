@@ -15,9 +15,10 @@ The bound is exact: no link is lost, whatever the hash does, and every candidate
 verified by its whole set. Candidates come from two rounds. In the first each set
 meets only the least and the next set of a signature's group; verified links make
 components. In the second only groups that still hold several components are compared,
-across components, and a pair is passed on only if an upper bound of its overlap, from
-hashed counts, reaches what the threshold needs. So a group of thousands of near
-copies costs a star, and a phrase that many texts share costs no output.
+across components, and a pair is verified only if two bounds allow it: an upper bound of
+its overlap from hashed counts, and the number of signatures it must share at least
+(with k and l signatures, all but d of the fewer). So a group of thousands of near
+copies costs a star, and a phrase that many texts share costs little output.
 """
 
 from __future__ import annotations
@@ -44,6 +45,8 @@ THRESHOLD = (75, 100)
 PART = 2.4
 #: Bins of the hashed counts that bound an overlap from above.
 BINS = 256
+#: Share of its signatures that a pair must have in common to be verified in the first round already.
+EARLY = 0.125
 #: Groups are compared in blocks of so many sets.
 BLOCK = 512
 
@@ -58,6 +61,7 @@ SIGNED = T.StructType(
         T.StructField("digest_a", T.LongType(), False),
         T.StructField("digest_b", T.LongType(), False),
         T.StructField("signatures", T.ArrayType(T.LongType(), False), False),
+        T.StructField("k", T.LongType(), False),
         T.StructField("bins", T.BinaryType(), False),
     ]
 )
@@ -124,16 +128,19 @@ def _deletions(part: np.ndarray, threshold: tuple[int, int]) -> list[np.ndarray]
     return made
 
 
-def signatures(members: np.ndarray, threshold: tuple[int, int] = THRESHOLD) -> np.ndarray:
-    """The signatures of one set, for its band and, near the band's end, for the next."""
+def signatures(members: np.ndarray, threshold: tuple[int, int] = THRESHOLD) -> tuple[np.ndarray, int]:
+    """The signatures of one set, for its band and, near the band's end, for the next.
+
+    And the fewest of them, in a band, that are of whole parts.
+    """
     a = len(members)
     if not a:
-        return np.zeros(0, M)
+        return np.zeros(0, M), 0
     low, high = threshold
     # most differing shingles against any partner, the largest of which has a / s of them
     most = (a * high // low + a) * (high - low) // (high + low)
     band = a.bit_length() - 1
-    found = []
+    found, fewest = [], most + 1
     for b in (band, band + 1):
         if b > band and a * high < low * 2**b:
             continue
@@ -146,12 +153,13 @@ def signatures(members: np.ndarray, threshold: tuple[int, int] = THRESHOLD) -> n
         seal = dealt[starts] * _FACTORS[0] + np.full(1, b, M) * _FACTORS[1]
         values = mix(np.add.reduceat(inside, starts) + seal)
         found.append(values[np.lexsort((values, -sizes))[: most + 1]])
+        fewest = min(fewest, len(values))
         if len(values) <= most:
             # apart from the signatures above, so that only sets like this one meet here
             for k, (start, size) in enumerate(zip(starts, sizes, strict=True)):
                 left = _deletions(inside[start : start + size], threshold)
                 found.append(mix(np.array([x.sum(dtype=M) for x in left], M) + seal[k] + _FACTORS[2]))
-    return np.unique(np.concatenate(found))
+    return np.unique(np.concatenate(found)), fewest
 
 
 def _digest(members: np.ndarray) -> tuple[int, int]:
@@ -177,11 +185,13 @@ def sign(docs: DataFrame, text: str, keep: list[str], width: int = WORDS, thresh
             _worker_hashes()
             sets = [shingles(t, width) for t in texts]
             digests = [_digest(s) for s in sets]
+            signed = [signatures(s, threshold) for s in sets]
             return {
                 "n": pa.array([len(s) for s in sets], pa.int64()),
                 "digest_a": pa.array([d[0] for d in digests], pa.int64()),
                 "digest_b": pa.array([d[1] for d in digests], pa.int64()),
-                "signatures": pa.array([signatures(s, threshold).view(np.int64) for s in sets], pa.list_(pa.int64())),
+                "signatures": pa.array([v.view(np.int64) for v, _ in signed], pa.list_(pa.int64())),
+                "k": pa.array([k for _, k in signed], pa.int64()),
                 "bins": pa.array([_bins(s) for s in sets], pa.binary()),
             }
 
@@ -308,9 +318,10 @@ def _across(threshold: tuple[int, int]):
                             found.append(np.stack([ident[p[enough]], ident[q[enough]]], axis=1))
             if found:
                 pairs = np.concatenate(found)
-                pairs = np.unique(np.stack([pairs.max(axis=1), pairs.min(axis=1)], axis=1), axis=0)
+                pairs = np.stack([pairs.max(axis=1), pairs.min(axis=1)], axis=1)
+                pairs, shared = np.unique(pairs, axis=0, return_counts=True)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(pairs[:, 0], pa.int64()), pa.array(pairs[:, 1], pa.int64())], names=["a", "b"]
+                    [pa.array(x, pa.int64()) for x in (pairs[:, 0], pairs[:, 1], shared)], names=["a", "b", "shared"]
                 )
 
     return run
@@ -414,28 +425,37 @@ def join(
     ordered = rows.repartition(n_parts, "sig").sortWithinPartitions("sig", "id")
     groups = spool(ordered.mapInArrow(_stars, "sig bigint, id bigint, hub bigint, prior bigint"))
 
-    # first round: least and previous set of every group
+    # first round: least and previous set of every group, if they share many signatures
     near = (
         groups.select(F.col("id").alias("a"), F.col("hub").alias("b"))
-        .unionByName(groups.select(F.col("id").alias("a"), F.col("prior").alias("b")))
+        .unionByName(groups.where("prior <> hub").select(F.col("id").alias("a"), F.col("prior").alias("b")))
         .where("a <> b")
-        .distinct()
+        .groupBy("a", "b")
+        .agg(F.count("*").alias("shared"))
     )
-    sketch = heads.select("id", "n", "bins")
-    near = near.join(sketch.toDF("a", "n_a", "bins_a"), "a").join(sketch.toDF("b", "n_b", "bins_b"), "b")
+    sketch = heads.select("id", "n", "k", "bins")
+    near = near.join(sketch.select(F.col("id").alias("a"), F.col("n").alias("n_a"), "k", F.col("bins").alias("bins_a")), "a")
+    near = near.where(F.col("shared") >= EARLY * F.col("k"))
+    near = near.join(sketch.select(F.col("id").alias("b"), F.col("n").alias("n_b"), F.col("bins").alias("bins_b")), "b")
     near = near.select("a", "b", "n_a", "bins_a", "n_b", "bins_b")
     near = spool(near.mapInArrow(_plausible(threshold), "a bigint, b bigint"))
     links = spool(verify(near, _sets(docs, key, text, near, width, n_rows > n_ids), threshold))
     early = spool(components(links))
 
     # second round: groups that still hold several components
-    seats = groups.select("sig", "id").unionByName(groups.select("sig", F.col("hub").alias("id"))).distinct()
+    seats = groups.select("sig", "id").unionByName(groups.select("sig", F.col("hub").alias("id")).distinct())
     seats = seats.join(early, "id", "left").select("sig", "id", F.coalesce("component", "id").alias("comp"))
     seats = spool(seats)
     mixed = seats.groupBy("sig").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("sig")
     seats = seats.join(mixed, "sig").join(sketch, "id").select("sig", "id", "comp", "n", "bins")
     across = seats.repartition(n_parts, "sig").sortWithinPartitions("sig")
-    across = spool(across.mapInArrow(_across(threshold), "a bigint, b bigint").distinct())
+    across = across.mapInArrow(_across(threshold), "a bigint, b bigint, shared bigint")
+    across = across.groupBy("a", "b").agg(F.sum("shared").alias("shared"))
+    for side in ("a", "b"):
+        across = across.join(sketch.select(F.col("id").alias(side), F.col("n").alias(f"n_{side}"), F.col("k").alias(f"k_{side}")), side)
+    differ = F.floor((F.col("n_a") + F.col("n_b")) * (high - low) / (high + low))
+    across = across.where(F.col("shared") >= F.least("k_a", "k_b") - differ).select("a", "b")
+    across = spool(across)
     late = verify(across, _sets(docs, key, text, across, width, n_rows > n_ids), threshold)
 
     edges = early.where("id <> component").toDF("a", "b").unionByName(late)
