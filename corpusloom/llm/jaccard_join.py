@@ -44,11 +44,13 @@ THRESHOLD = (75, 100)
 #: Mean shingles of a part for a set at the upper end of its band.
 PART = 2.4
 #: Bins of the hashed counts that bound an overlap from above.
-BINS = 256
+BINS = 512
 #: Share of its signatures that a pair must have in common to be verified in the first round already.
 EARLY = 0.125
 #: Groups are compared in blocks of so many sets.
 BLOCK = 512
+#: Pairs a task adds up before it passes them on.
+HELD = 500_000
 
 M = np.uint64
 _FACTORS = np.array(
@@ -289,7 +291,14 @@ def _across(threshold: tuple[int, int]):
     """Pairs across components in the group of a signature whose overlap can still suffice."""
     low, high = threshold
 
+    def counted(held: list[np.ndarray]) -> pa.RecordBatch:
+        pairs, shared = np.unique(np.concatenate(held), axis=0, return_counts=True)
+        columns = (pairs[:, 0], pairs[:, 1], shared)
+        return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in columns], names=["a", "b", "shared"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+        waiting = 0
         for table in _runs(batches):
             sig, ident, comp, n = (table.column(c).to_numpy() for c in ("sig", "id", "comp", "n"))
             bins = _bin_rows(table.column("bins"))
@@ -318,11 +327,13 @@ def _across(threshold: tuple[int, int]):
                             found.append(np.stack([ident[p[enough]], ident[q[enough]]], axis=1))
             if found:
                 pairs = np.concatenate(found)
-                pairs = np.stack([pairs.max(axis=1), pairs.min(axis=1)], axis=1)
-                pairs, shared = np.unique(pairs, axis=0, return_counts=True)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(x, pa.int64()) for x in (pairs[:, 0], pairs[:, 1], shared)], names=["a", "b", "shared"]
-                )
+                held.append(np.stack([pairs.max(axis=1), pairs.min(axis=1)], axis=1))
+                waiting += len(pairs)
+            if waiting > HELD:
+                yield counted(held)
+                held, waiting = [], 0
+        if held:
+            yield counted(held)
 
     return run
 
