@@ -41,12 +41,17 @@ def _rounded_units(magnitude: Column, scale: float) -> Column:
     return _let(magnitude * F.lit(scale), decide)
 
 
+#: Sizes from which the parts of a number are printed apart, and from which there is no fraction.
+LARGE, LONG = 1e9, 9.0e15
+
+
 def fixed(x: Column, digits: int) -> Column:
     """``%.{digits}f``: the exact binary value, rounded half to even.
 
     ``format_string`` rounds the printed decimal half up instead (72.25 gives
     72.3, not 72.2). The product x * 10^digits is taken with its exact rounding
     error, so a product that lands on one half is decided by the true value.
+    Infinities are ``inf`` and ``-inf``; up to nine digits, exact below 2^63.
     """
     unit = 10**digits
 
@@ -60,9 +65,27 @@ def fixed(x: Column, digits: int) -> Column:
         # only the printed form tells -0.0 from 0.0
         negative = F.when(value == 0, value.cast("string").startswith("-")).otherwise(value < 0)
         sign = F.when(negative, "-").otherwise("")
-        digits_text = _let(_rounded_units(F.abs(value), float(unit)), number)
+        size = F.abs(value)
+        small = _let(_rounded_units(F.when(size < LARGE, size).otherwise(F.lit(0.0)), float(unit)), number)
+        digits_text = F.when(size < LARGE, small).when(size == float("inf"), F.lit("inf")).otherwise(_large(size))
         return F.when(F.isnan(value), F.lit("nan")).otherwise(F.concat(sign, digits_text))
 
+    def _large(size: Column) -> Column:
+        # whole and fractional part apart, or their units would not fit a long
+        if digits == 0:
+            return F.rint(size).cast("decimal(38,0)").cast("string")
+        exact = size < LONG
+        whole = F.when(exact, F.floor(F.when(exact, size).otherwise(F.lit(0.0))))
+        units = _rounded_units(F.when(exact, size - whole).otherwise(F.lit(0.0)), float(unit))
+
+        def joined(part: Column) -> Column:
+            carry = (whole + (part >= unit).cast("bigint")).cast("string")
+            beyond = size.cast("decimal(38,0)").cast("string")
+            rest = F.lpad((part % unit).cast("string"), digits, "0")
+            return F.concat(F.when(exact, carry).otherwise(beyond), F.lit("."), rest)
+
+        return _let(units, joined)
+
     return _let(x.cast("double"), text)
 
 

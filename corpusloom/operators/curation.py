@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -76,27 +78,32 @@ def chronological_splits(groups: DataFrame, order: Sequence[str], n_train: int,
         *order,
         F.when(place <= n_train, F.lit("train")).otherwise(F.lit("validation")).alias("split"),
     )
-    return (
-        groups.join(F.broadcast(early), list(order), "left")
-        .withColumn("split", F.coalesce("split", F.lit("test")))
-    )
+    # null-safe: a group without an order key sorts first and keeps that place
+    early = early.select(*[F.col(c).alias(f"_{c}") for c in order], "split")
+    same = reduce(and_, [groups[c].eqNullSafe(early[f"_{c}"]) for c in order])
+    placed = groups.join(F.broadcast(early), same, "left")
+    return placed.select(*groups.columns, F.coalesce("split", F.lit("test")).alias("split"))
 
 
-def label_bits(annotations: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """(keys, _bits): the positive label types of each position packed into one number.
+def label_types(annotations: DataFrame, keys: Sequence[str], n_types: int) -> DataFrame:
+    """(keys, _types): the positive label types of each position, in order.
 
-    A line is positive when its value is ``1``. Packing happens before the shuffle,
-    so one small row per labelled position moves.
+    A line is positive when its value is ``1``. Only positive lines move, a few per
+    position. A type that is not 0 to ``n_types - 1`` is an error.
     """
+    known = F.col("label_type").between(0, n_types - 1)
+    kind = F.when(known, F.col("label_type").cast("int")).otherwise(
+        F.raise_error(F.concat(F.lit("unknown label type "), F.coalesce(F.col("label_type").cast("string"), F.lit("null"))))
+    )
     return (
         annotations.where(F.col("value") == "1")
         .groupBy(*keys)
-        .agg(F.bit_or(F.expr("shiftleft(1L, label_type)")).alias("_bits"))
+        .agg(F.sort_array(F.collect_set(kind)).alias("_types"))
     )
 
 
 def has_label(i: int) -> Column:
-    return F.coalesce(F.col("_bits").bitwiseAND(F.lit(1 << i)) != 0, F.lit(False))
+    return F.coalesce(F.array_contains("_types", i), F.lit(False))
 
 
 def label_lists(
@@ -106,11 +113,12 @@ def label_lists(
 
     ``annotations`` holds ``keys``, ``label_type`` (0-based) and ``value``.
     """
-    chosen = [F.when(has_label(i), F.lit(name)) for i, name in enumerate(names)]
+    by_type = F.array(*[F.lit(name) for name in names])
+    chosen = F.transform(F.coalesce("_types", F.array().cast("array<int>")), lambda t: F.get(by_type, t))
     return (
-        sentences.join(label_bits(annotations, keys), list(keys), "left")
-        .withColumn("labels", F.array_compact(F.array(*chosen)))
-        .drop("_bits")
+        sentences.join(label_types(annotations, keys, len(names)), list(keys), "left")
+        .withColumn("labels", chosen)
+        .drop("_types")
     )
 
 
@@ -128,14 +136,14 @@ def annotation_summary(
     ``without annotation`` is the true number. All counts come from one join and
     one aggregation.
     """
-    marked = sentences.select(*keys).join(label_bits(annotations, keys), list(keys), "left")
-    n_labels = F.coalesce(F.bit_count("_bits"), F.lit(0))
+    marked = sentences.select(*keys).join(label_types(annotations, keys, len(names)), list(keys), "left")
+    n_labels = F.coalesce(F.size("_types"), F.lit(0))
     counts = marked.agg(
         F.count("*").alias("sentences"),
         *[F.count_if(has_label(i)).alias(name) for i, name in enumerate(names)],
         F.coalesce(F.sum(n_labels), F.lit(0)).alias("annotations"),
         (F.count("*") - F.coalesce(F.sum(n_labels), F.lit(0))).alias("sentences minus annotations"),
-        F.count_if(F.col("_bits").isNull()).alias("without annotation"),
+        F.count_if(F.col("_types").isNull()).alias("without annotation"),
     )
     return counts.unpivot([], [F.col(f"`{c}`") for c in counts.columns], "measure", "n")
 

@@ -14,9 +14,17 @@ from pyspark.sql import functions as F
 from corpusloom.functions import labels as L
 
 
-def align(gold: DataFrame, predictions: DataFrame, key: str) -> DataFrame:
-    """Gold rows next to their predictions, matched by example id."""
-    return gold.join(predictions, key)
+def align(gold: DataFrame, predictions: DataFrame, key: str, require_all: bool = False) -> DataFrame:
+    """Gold rows next to their predictions, matched by example id.
+
+    With ``require_all`` a gold row without a prediction is an error instead of being
+    left out, so no score is taken over a part of the examples.
+    """
+    if not require_all:
+        return gold.join(predictions, key)
+    there = predictions.withColumn("_there", F.lit(True))
+    missing = F.raise_error(F.concat(F.lit("no prediction for "), F.coalesce(F.col(key).cast("string"), F.lit("null"))))
+    return gold.join(there, key, "left").where(F.coalesce("_there", missing.cast("boolean"))).drop("_there")
 
 
 def alignment_report(gold: DataFrame, predictions: DataFrame, key: str) -> DataFrame:

@@ -51,8 +51,9 @@ def harmonic_mean(x: Column) -> Column:
 
 
 def geometric_mean(x: Column) -> Column:
-    """exp(mean(ln x)); 0 as soon as one value is 0."""
-    return F.when(F.count_if(x == 0) > 0, F.lit(0.0)).otherwise(F.exp(F.avg(F.log(F.when(x > 0, x)))))
+    """exp(mean(ln x)); 0 as soon as one value is 0, an error for negative values."""
+    logs = F.avg(F.when(x < 0, F.raise_error(F.lit("negative score"))).otherwise(F.log(F.when(x > 0, x))))
+    return F.when(F.count_if(x == 0) > 0, F.lit(0.0)).otherwise(F.exp(logs))
 
 
 def one_of(items: Sequence) -> Column:

@@ -241,7 +241,7 @@ ORACLE = {
     "curate_label_pairs": with_views("select label, o_orderkey from v_label_rows where label in (select label from v_top_labels )",
     ),
     "curate_single_label": with_views("select o_orderkey, label, year from v_single "),
-    "curate_year_sample_split": with_views("select o_orderkey, label, year, case year when '1999' then 'validation' when '2000' then 'test' else 'train' end"
+    "curate_year_sample_split": with_views("select o_orderkey, label, year, case year when '1999' then 'validation' when '2000' then 'test' when '2001' then 'test' else 'train' end"
         " as split from v_sampled ",
     ),
     "curate_chrono_group_split": with_views("select s.company, s.doc_id, cast(s.line_no as int) line_no, s.text, c.year as release_year, c.split"
@@ -408,7 +408,7 @@ ORACLE = {
     "sample_counts": f"""
         select split, count(*) n_rows, least({P.CAP}, count(*)) n_used
         from (select {SPLIT} as split from documents) group by split""",
-    "io_split_json": with_views("select o_orderkey, label, year, case year when '1999' then 'validation' when '2000' then 'test' else 'train' end"
+    "io_split_json": with_views("select o_orderkey, label, year, case year when '1999' then 'validation' when '2000' then 'test' when '2001' then 'test' else 'train' end"
         " as split from v_sampled ",
     ),
     "io_task_split": "select text, cast(doc_id%14 as int) as label, 'validation' as split from documents where doc_id%10=8",

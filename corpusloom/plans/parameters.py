@@ -2,8 +2,8 @@
 
 LABELS = 2
 TOP_LABELS = 10
-YEAR_SAMPLES = {"1995": 300, "1996": 300, "1997": 300, "1998": 300, "1999": 100, "2000": 100}
-YEAR_SPLITS = {"train": ["1995", "1996", "1997", "1998"], "dev": ["1999"], "test": ["2000"]}
+YEAR_SAMPLES = {"1995": 300, "1996": 300, "1997": 300, "1998": 300, "1999": 100, "2000": 100, "2001": 100}
+YEAR_SPLITS = {"train": ["1995", "1996", "1997", "1998"], "dev": ["1999"], "test": ["2000", "2001"]}
 N_TRAIN_GROUPS = 12
 N_VALIDATION_GROUPS = 4
 FIRST_WORDS = 50

@@ -82,7 +82,7 @@ def listing(items: Column) -> Column:
 
 
 def scored_labels(spark: SparkSession, folder: str) -> DataFrame:
-    return evaluation.align(views.multilabel_gold(spark, folder), views.multilabel_scores(spark, folder), "doc_id")
+    return evaluation.align(views.multilabel_gold(spark, folder), views.multilabel_scores(spark, folder), "doc_id", True)
 
 
 def indicator_rows(spark: SparkSession, folder: str) -> DataFrame:
@@ -184,7 +184,7 @@ def eval_choice_argmax(spark, folder):
     """Choices scored one per row, regrouped, the first best one picked."""
     scores = pooling.regroup_choices(choice_scores(spark, folder), "doc_id", "choice", "score")
     gold = views.table(spark, folder, "documents").select("doc_id", (F.col("doc_id") % 5).cast("int").alias("label"))
-    picked = evaluation.align(gold, scores, "doc_id").withColumn("predicted", L.argmax(F.col("scores")))
+    picked = evaluation.align(gold, scores, "doc_id", True).withColumn("predicted", L.argmax(F.col("scores")))
     return picked.select("doc_id", "label", "predicted")
 
 

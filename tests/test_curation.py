@@ -161,3 +161,22 @@ def test_lookup_join_gives_the_same_rows_on_every_path(spark):
         plain = lookup_join(facts, lookup, "k", how, max_bytes=10)
         assert sorted(map(tuple, salted.select("id", "k", "v").fillna(-1).collect())) == small
         assert sorted(map(tuple, plain.select("id", "k", "v").fillna(-1).collect())) == small
+
+
+def test_a_hundred_label_types(spark):
+    names = [f"name{i}" for i in range(100)]
+    sentences = spark.createDataFrame([(0,), (1,), (2,)], "line_no int")
+    marks = [(0, 66, "1"), (0, 99, "1"), (0, 3, "0"), (1, 2, "1")]
+    annotations = spark.createDataFrame(marks, "line_no int, label_type int, value string")
+    listed = C.label_lists(sentences, annotations, ["line_no"], names).orderBy("line_no").collect()
+    assert [r["labels"] for r in listed] == [["name66", "name99"], ["name2"], []]
+    counts = dict(C.annotation_summary(sentences, annotations, ["line_no"], names).collect())
+    assert counts["name66"] == counts["name99"] == counts["name2"] == 1 and counts["annotations"] == 3
+    with pytest.raises(Exception, match="unknown label type (66|99)"):
+        C.label_lists(sentences, annotations, ["line_no"], names[:50]).collect()
+
+
+def test_a_group_without_an_order_key_keeps_its_place(spark):
+    groups = spark.createDataFrame([(None, "a"), (2010, "b"), (2011, "c")], "year int, company string")
+    split = {r["company"]: r["split"] for r in C.chronological_splits(groups, ["year", "company"], 1, 1).collect()}
+    assert split == {"a": "train", "b": "validation", "c": "test"}

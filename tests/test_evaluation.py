@@ -158,3 +158,11 @@ def test_losses_stay_finite_for_large_logits(spark):
 def test_argmax_ties_go_to_the_first(spark):
     df = spark.createDataFrame([([1.0, 1.0],)], "s array<double>")
     assert df.select(argmax(F.col("s"))).first()[0] == 0
+
+
+def test_alignment_of_all_rows_or_none(spark):
+    gold = spark.createDataFrame([(1,), (2,)], "id int")
+    pred = spark.createDataFrame([(2, 0.5), (3, 0.1)], "id int, s double")
+    assert E.align(gold.where("id = 2"), pred, "id", require_all=True).count() == 1
+    with pytest.raises(Exception, match="no prediction for 1"):
+        E.align(gold, pred, "id", require_all=True).collect()

@@ -178,3 +178,9 @@ def test_position_encoding(values):
         expected = [0.0] * dim if position == 0 else [np.sin(a) if i % 2 == 0 else np.cos(a) for i, a in enumerate(angles)]
         assert np.allclose(row, expected)
     assert values([[4.0, 5.0], []], "array<double>", V.first_element(X)) == [4.0, None]
+
+
+def test_fixed_of_large_numbers_and_infinities(values):
+    numbers = [float("inf"), -float("inf"), 1e15, -1e9 - 0.5, 2.5e9, 1234567890.125, 1999999999.9999999, 4503599627370495.5, 1e18]
+    for digits in (0, 1, 2, 5):
+        assert values(numbers, "double", N.fixed(F.col("x"), digits)) == [f"%.{digits}f" % n for n in numbers]

@@ -150,3 +150,9 @@ def test_early_stop_and_best_epoch(spark):
         assert stops[run]["out_of_patience"] == (stop is not None)
         assert best[run]["best_epoch"] == first_best
         assert best[run]["f1"] == metrics[first_best - 1]
+
+
+def test_geometric_mean_refuses_negatives(spark):
+    scores = spark.createDataFrame([(0.5,), (-0.5,)], "x double")
+    with pytest.raises(Exception, match="negative score"):
+        scores.agg(B.geometric_mean(F.col("x"))).collect()
