@@ -29,8 +29,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from corpusloom.llm import texts
 from corpusloom.llm.ship import ship
-from corpusloom.llm.texts import MAX_WORDS, column, per_text
+from corpusloom.llm.texts import column, per_text
 from corpusloom.llm.vocabularies import public_path
 from corpusloom.sources.cache import spool
 
@@ -39,6 +40,8 @@ CAPACITY = 2048
 END = 0
 #: Pieces packed together in one task.
 GROUP = 20_000
+#: Distinct words a worker remembers, about 200 bytes each; beyond it the table starts anew.
+MAX_WORDS = 2 * texts.MAX_WORDS
 
 _END = struct.pack("<I", END)
 
@@ -69,8 +72,9 @@ class WordBytes(dict):
     def learn(self, words: set[bytes]) -> None:
         """Take in the words that are not there yet."""
         plain, odd = [], []
-        for word in words - self.keys():
-            (plain if _PLAIN(word) else odd).append(word)
+        for word in words:
+            if word not in self:
+                (plain if _PLAIN(word) else odd).append(word)
         for start in range(0, len(plain), 2000):
             some = plain[start : start + 2000]
             found = self.tokenizer.encode(b" ".join(some).decode(), add_special_tokens=False)
@@ -125,10 +129,10 @@ def tokenise(
         if table is None:
             table = _tables[path] = WordBytes(path)
 
-        def work(texts):
+        def work(batch):
             if len(table) > MAX_WORDS:
                 table.clear()
-            split = [split_words(t or b"") for t in texts]
+            split = [split_words(t or b"") for t in batch]
             table.learn(set().union(*split))
             look = table.__getitem__
             made = [b"".join(map(look, words)) + _END for words in split]
