@@ -6,13 +6,12 @@ import pytest
 
 import __spark_entry__ as entry
 from check_oracle import compare, connect
-from corpusloom.plans.queries import QUERIES as OWN
+from corpusloom.plans.oracle import ORACLE as SQL
+from corpusloom.plans.queries import QUERIES
 
 FOLDER = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no test tables")
 
-QUERIES, SQL = entry.queries(), entry.oracle_sql()
-
 
 @pytest.fixture(scope="module")
 def tables():
@@ -26,7 +25,7 @@ def test_query_equals_sql(spark, tables, name):
 
 def test_every_sql_has_its_query():
     assert set(SQL) <= set(QUERIES)
-    assert sorted(set(OWN) - set(SQL)) == ["svm_choice", "svm_multiclass_grid", "svm_multilabel"]
+    assert sorted(set(QUERIES) - set(SQL)) == ["svm_choice", "svm_multiclass_grid", "svm_multilabel"]
 
 
 def test_flagship_query(spark):
