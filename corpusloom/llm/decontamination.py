@@ -16,7 +16,6 @@ from __future__ import annotations
 
 import heapq
 from collections.abc import Iterable, Iterator, Mapping
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corpusloom.llm.ship import ship
-from corpusloom.llm.texts import column, per_text
+from corpusloom.llm.texts import column, held, per_text
 from corpusloom.operators.lookups import fits_broadcast
 from corpusloom.sources.cache import spool
 
@@ -186,9 +185,8 @@ class Items:
         return found
 
 
-@lru_cache(maxsize=2)
 def _items(texts: tuple, width: int) -> Items:
-    return Items(texts, width)
+    return held("decontamination", (texts, width), lambda: Items(texts, width))
 
 
 def _rows(found: list[tuple], names, coverage: float) -> list[dict]:

@@ -24,7 +24,6 @@ copies costs a star, and a phrase that many texts share costs little output.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corpusloom.llm.ship import ship
-from corpusloom.llm.texts import MAX_WORDS, WordIds, Grown, column, per_text
+from corpusloom.llm.texts import MAX_WORDS, Grown, WordIds, column, held, per_text
 from corpusloom.operators.lookups import fits_broadcast, lookup_join
 from corpusloom.sources.cache import spool
 
@@ -93,9 +92,8 @@ class WordHashes:
         return self.values.values[ids]
 
 
-@lru_cache(maxsize=1)
 def _hashes() -> WordHashes:
-    return WordHashes()
+    return held("jaccard_join", "words", WordHashes)
 
 
 def shingles(text: bytes | None, width: int = WORDS) -> np.ndarray:

@@ -31,7 +31,7 @@ from pyspark.sql import types as T
 
 from corpusloom.llm import texts
 from corpusloom.llm.ship import ship
-from corpusloom.llm.texts import column, per_text
+from corpusloom.llm.texts import column, held, per_text
 from corpusloom.llm.vocabularies import public_path
 from corpusloom.sources.cache import spool
 
@@ -106,9 +106,6 @@ _PLAIN = re.compile(rb"(?:[a-zA-Z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+").fullmat
 _ENDING = re.compile(rb"([a-z0-9]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])([.,!?;:%*&#$]+)(?=[ \t-\r]|$)").sub
 
 
-_tables: dict[str, WordBytes] = {}
-
-
 def tokenise(
     docs: DataFrame,
     text: str = "text",
@@ -125,9 +122,7 @@ def tokenise(
     step = 4 * capacity
 
     def kernel():
-        table = _tables.get(path)
-        if table is None:
-            table = _tables[path] = WordBytes(path)
+        table = held("packing", path, lambda: WordBytes(path))
 
         def work(batch):
             if len(table) > MAX_WORDS:

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from corpusloom.llm import vocabularies
-from corpusloom.llm.texts import MAX_WORDS, Grown, WordIds, per_text, ragged
+from corpusloom.llm.texts import MAX_WORDS, Grown, WordIds, held, per_text, ragged
 
 
 class Band(NamedTuple):
@@ -121,16 +121,12 @@ class WordTokens:
         return ids
 
 
-_tables: dict[str, WordTokens] = {}
-
-
 def _table(path: str) -> WordTokens:
     """The worker's table, kept from task to task and begun anew when it is full."""
-    if path not in _tables:
-        _tables[path] = WordTokens(path)
-    if len(_tables[path].words) > MAX_WORDS:
-        _tables[path].clear()
-    return _tables[path]
+    table = held("quality_rules", path, lambda: WordTokens(path))
+    if len(table.words) > MAX_WORDS:
+        table.clear()
+    return table
 
 
 def repeated_words(ids: np.ndarray) -> int:

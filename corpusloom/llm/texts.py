@@ -9,6 +9,7 @@ worker, and looked up for every further occurrence.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
@@ -22,6 +23,8 @@ from corpusloom.llm.ship import ship
 SLICE = 256
 #: Distinct words a worker remembers; beyond it the table starts anew.
 MAX_WORDS = 300_000
+#: Bytes of an Arrow batch; a task holds several at once, on either side.
+BATCH_BYTES = 8 << 20
 
 
 def column(name: str) -> Column:
@@ -29,6 +32,30 @@ def column(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
+_held: dict[tuple, Any] = {}
+
+
+def release_others(owner: str) -> None:
+    """Drop the worker's tables of other owners.
+
+    Workers live on from stage to stage; so a chain of operators needs the memory of the
+    largest and not of all.
+    """
+    others = [key for key in _held if key[0] != owner]
+    for key in others:
+        del _held[key]
+    if others:
+        pa.default_memory_pool().release_unused()
+
+
+def held(owner: str, name: Any, make: Callable[[], Any]) -> Any:
+    """The worker's table of that owner and name, made when it is not there; others' tables go."""
+    release_others(owner)
+    if (owner, name) not in _held:
+        _held[owner, name] = make()
+    return _held[owner, name]
+
+
 def per_text(
     docs: DataFrame,
     text: str,
@@ -40,9 +67,11 @@ def per_text(
 
     Both are structs, so a column of the input may bear the name of a result. The
     kernel is made once per task and called with the UTF-8 texts of up to ``SLICE``
-    rows, null where the text is null. One pass over the scan, no shuffle.
+    rows, null where the text is null. One pass over the scan, no shuffle. The session's
+    Arrow batches are set to ``BATCH_BYTES``.
     """
     ship(docs.sparkSession)
+    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
     names = list(docs.columns if keep is None else keep)
     source = docs.select(
         F.struct(*[column(c).alias(c) for c in names]).alias("row"), column(text).cast("binary").alias("text")

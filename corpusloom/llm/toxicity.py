@@ -27,7 +27,7 @@ from pyspark.sql import types as T
 
 from corpusloom.llm.calibration import bounded, fit_logistic, labelled, logistic
 from corpusloom.llm.ship import ship
-from corpusloom.llm.texts import MAX_WORDS, SLICE, Grown, WordIds, per_text
+from corpusloom.llm.texts import MAX_WORDS, SLICE, Grown, WordIds, per_text, release_others
 from corpusloom.sources.cache import spool
 
 #: Taken off every count and given to the backoff.
@@ -167,6 +167,7 @@ def _scored(docs: DataFrame, model: Model, text: str, keep: list[str] | None, wi
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def kernel():
+        release_others("toxicity")
         ratios = Ratios(sent.value)
         weights = np.array(sent.value.weights)
 
