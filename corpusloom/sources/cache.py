@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-import re
+import hashlib
+import json
 import uuid
 
 from pyspark.errors import AnalysisException
@@ -11,10 +12,14 @@ from pyspark.sql import DataFrame, SparkSession
 from corpusloom.session import shared_folder
 
 
-def feature_key(split: str, vocabulary: str, max_length: int | None, task: str) -> str:
-    """Cache key of prepared features: everything that changes their content."""
-    name = re.sub("[^a-z]+", " ", vocabulary).title().replace(" ", "")
-    return f"cached_{split}_{name}_{max_length}_{task}"
+def feature_key(source: DataFrame, **parameters: object) -> str:
+    """Cache key of features of ``source``: a digest of its plan, its input files and the parameters.
+
+    Other rows or parameters give another key. Files replaced under the same name do
+    not; rebuild with ``overwrite`` then.
+    """
+    told = [source.semanticHash(), source.columns, sorted(source.inputFiles()), sorted(parameters.items())]
+    return "features/" + hashlib.sha256(json.dumps(told, default=str).encode()).hexdigest()
 
 
 def materialize(df: DataFrame, key: str, overwrite: bool = False) -> DataFrame:

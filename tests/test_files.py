@@ -119,8 +119,11 @@ def test_trainer_states(spark, tmp_path):
 def test_feature_cache_builds_once(spark):
     import uuid
 
-    key = f"{cache.feature_key('train', 'org/Legal-base', 128, 'task')}_{uuid.uuid4().hex}"
-    assert key.startswith("cached_train_OrgEgalBase_128_task_")
+    run = uuid.uuid4().hex
+    key = cache.feature_key(spark.range(3), max_length=128, run=run)
+    assert key == cache.feature_key(spark.range(3), run=run, max_length=128)
+    assert key != cache.feature_key(spark.range(4), max_length=128, run=run)
+    assert key != cache.feature_key(spark.range(3), max_length=64, run=run)
     first = cache.materialize(spark.range(3), key)
     assert first.count() == 3
     assert cache.materialize(spark.range(99), key).count() == 3
