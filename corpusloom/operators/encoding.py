@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -10,6 +14,7 @@ from corpusloom.functions.arrays import unroll
 
 UNKNOWN_ID = 1
 FIRST_TERM_ID = 2
+MAX_VOCABULARY = 1_000_000
 
 
 def token_vocabulary(docs: DataFrame, tokens: str, size: int) -> DataFrame:
@@ -29,32 +34,34 @@ def token_vocabulary(docs: DataFrame, tokens: str, size: int) -> DataFrame:
 
 
 def encode_rows(docs: DataFrame, id_column: str, segments: Column, vocabulary: DataFrame) -> DataFrame:
-    """(id, rows): per document the token ids of its segments, in order.
+    """(id, rows): per document the token ids of its segments, in order; null segments give null rows.
 
-    ``segments`` is an array of token arrays, already cut to the wanted shape, so
-    a document contributes a bounded number of tokens. The vocabulary is bounded
-    by its size and broadcast. A document's tokens meet again on the map side,
-    so the shuffle moves one row of ids per document.
+    The vocabulary travels with the job, at most ``MAX_VOCABULARY`` entries; a longer one
+    is an error. Ids are looked up a batch at a time, so no token leaves its row and nothing
+    is shuffled. A null segment counts as an empty one.
     """
-    # sizes and the flat list are made before the tokens become rows: whatever is
-    # kept beside a token is copied to every one of its rows
-    flat = docs.select(
-        id_column,
-        F.transform(segments, lambda s: F.size(s)).alias("_sizes"),
-        F.flatten(segments).alias("_tokens"),
-    )
-    cells = flat.select(id_column, "_sizes", F.posexplode_outer("_tokens").alias("_position", "token")).join(
-        F.broadcast(vocabulary), "token", "left"
-    )
-    found = F.struct("_position", F.coalesce("token_id", F.lit(UNKNOWN_ID)).alias("token_id"))
-    # an empty document leaves one row without a token, which collect_list skips
-    ids = F.sort_array(F.collect_list(F.when(F.col("token").isNotNull(), found)))
-    encoded = cells.groupBy(id_column).agg(
-        F.transform(ids, lambda c: c["token_id"]).alias("_ids"), F.any_value("_sizes").alias("_sizes")
-    )
+    entries = vocabulary.select("token", "token_id").limit(MAX_VOCABULARY + 1).collect()
+    if len(entries) > MAX_VOCABULARY:
+        raise ValueError(f"a vocabulary to encode with has at most {MAX_VOCABULARY} entries")
+    tokens, ids = [e["token"] for e in entries], [e["token_id"] for e in entries]
 
-    def row(size: Column, i: Column) -> Column:
-        start = F.aggregate(F.slice("_sizes", F.lit(1), i), F.lit(0), lambda acc, n: acc + n)
-        return F.slice("_ids", start + 1, size)
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, numbers = pa.array(tokens, pa.string()), pa.array(ids, pa.int32())
+        for batch in batches:
+            outer = batch.column(1)
+            inner = outer.values
+            words = inner.values.cast(pa.string())
+            found = numbers.take(pc.index_in(words, known)).fill_null(UNKNOWN_ID)
+            rows = pa.ListArray.from_arrays(outer.offsets, pa.ListArray.from_arrays(inner.offsets, found))
+            yield pa.RecordBatch.from_arrays([batch.column(0), rows, batch.column(2)], names=["id", "rows", "held"])
 
-    return encoded.select(id_column, F.transform("_sizes", row).alias("rows"))
+    empty = F.array().cast("array<string>")
+    whole = F.transform(segments, lambda s: F.coalesce(s, empty))
+    given = docs.select(
+        F.col(id_column).alias("id"),
+        F.coalesce(whole, F.array().cast("array<array<string>>")).alias("segments"),
+        segments.isNotNull().alias("held"),
+    )
+    kind = docs.schema[id_column].dataType.simpleString()
+    encoded = given.mapInArrow(encode, f"id {kind}, rows array<array<int>>, held boolean")
+    return encoded.select(F.col("id").alias(id_column), F.when(F.col("held"), F.col("rows")).alias("rows"))

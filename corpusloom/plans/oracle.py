@@ -14,6 +14,11 @@ WORD_PATTERN = (
     r"\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
 )
 
+# draws by the digest of a seed and the id
+PLACE = "cast('0x'||substr(md5('split:'||doc_id),1,8) as bigint)%10"
+SPLIT = f"case when {PLACE}<8 then 'train' when {PLACE}=8 then 'validation' else 'test' end"
+GOLD = "cast(cast('0x'||substr(md5('gold:'||doc_id),1,8) as bigint)%5 as int)"
+
 # --- views, inlined as common table expressions --------------------------------
 
 VIEWS = {
@@ -41,8 +46,9 @@ VIEWS = {
           sum(case when r.label=c.label and r.pred<>c.label then 1 else 0 end) fn
         from v_classified r cross join (select label from v_classified union select pred from v_classified) c
         group by c.label""",
-    "v_choice": """
-        select d.doc_id, d.text as context, k.k as choice, b.text as ending, cast(d.doc_id%5 as int) as label
+    "v_choice": f"""
+        select d.doc_id, d.text as context, k.k as choice, {GOLD} as label,
+          b.text || case when k.k={GOLD} then ' foregone conclusion reached' else ' unlikely outcome described' end as ending
         from documents d cross join range(5) k(k) join benchmark b
           on b.item_id=(d.doc_id+k.k*7)%(select count(*) from benchmark)""",
     "v_orders_brands": """
@@ -136,6 +142,11 @@ VIEWS = {
           ln((1+(select count(*) from documents))/(1.0::double+df))+1 as idf
         from (select term, cast(sum(tf) as bigint) tf, count(*) df from v_counts group by term having count(*)>=5
           order by tf desc, term limit {P.MAX_FEATURES})""",
+    "v_split_counts": f"select *, {SPLIT} as split from v_counts",
+    "v_train_vocabulary": f"""
+        select term, ln((1+(select count(*) from documents where {SPLIT}='train'))/(1.0::double+count(*)))+1 as idf
+        from v_split_counts where split='train' group by term having count(*)>=5
+        order by sum(tf) desc, term limit {P.MAX_FEATURES}""",
     "v_parts": f"select doc_id, regexp_split_to_array(text, '{P.SEGMENT_PATTERN}') l from documents",
     "v_segments": f"""
         select doc_id, cast(i-1 as int) as segment, l[i] as text
@@ -171,7 +182,6 @@ def label_counts(view: str, by: str = "") -> str:
     )
 
 
-SPLIT = "case when doc_id%10<8 then 'train' when doc_id%10=8 then 'validation' else 'test' end"
 GLOBAL_MASK = ",".join(["1"] + ["0"] * (P.SEQUENCE - 1))
 N = P.PAIR_BUDGET
 SCORES = ("eval_micro_f1", "eval_macro_f1", "predict_micro_f1", "predict_macro_f1")
@@ -277,7 +287,7 @@ ORACLE = {
         f"select 'multilabel' as task, {SPLIT} as split,"
         " (select count(distinct l) from (select unnest(labels) l from v_gold )) c from v_gold union all"
         f" select 'multiclass', {SPLIT}, (select count(distinct label) from v_multiclass ) from v_multiclass union all"
-        f" select 'choice', {SPLIT}, (select count(distinct doc_id%5) from documents) from documents) group by task",
+        f" select 'choice', {SPLIT}, (select count(distinct {GOLD}) from documents) from documents) group by task",
     ),
     "text_first_n_words": f"""
         select doc_id, array_to_string(w[1:{P.FIRST_WORDS}],' ') head,
@@ -332,6 +342,21 @@ ORACLE = {
     "tfidf_weights": with_views("select doc_id, term, round(w/sqrt(sum(w*w) over (partition by doc_id)),9) weight from"
         " (select c.doc_id, c.term, c.tf*v.idf w from v_counts c join v_vocabulary v on v.term=c.term)",
     ),
+    "svm_features": with_views("select doc_id, term, round(w/sqrt(sum(w*w) over (partition by doc_id)),9) weight from"
+        " (select c.doc_id, c.term, c.tf*v.idf w from v_split_counts c join v_train_vocabulary v on v.term=c.term"
+        " where c.split<>'train')",
+    ),
+    "svm_choice_predictions": f"select doc_id, {SPLIT} as split, {GOLD} as predicted from documents where {SPLIT}<>'train'",
+    "svm_choice_classes": f"select {SPLIT} as split, {GOLD} as label, count(*) as n from documents group by 1, 2",
+    "svm_best_point": f"""
+        select cast(l_partkey%{3 * len(P.SVM_VOCABULARY_SIZES)} as int) as grid_index,
+          cast(cast(sum(cast(floor(l_quantity) as bigint)) as bigint)%3 as double)/4 as score
+        from lineitem group by 1 order by score desc, grid_index limit 1""",
+    "svm_over_seeds": with_views("select model || '-' || task as split, count(*) n_seeds,"
+        " round(avg(predict_micro_f1),9) micro_f1_mean, round(stddev_pop(predict_micro_f1),9) micro_f1_std,"
+        " round(avg(predict_macro_f1),9) macro_f1_mean, round(stddev_pop(predict_macro_f1),9) macro_f1_std"
+        " from v_all_runs group by 1",
+    ),
     "vec_max_pool": """
         select label, cast(dim as int) dim, round(cast(max(x) as double),6) as x from (select label,
           unnest(range(len(embedding))) dim, unnest(embedding) x from embeddings) group by label, dim""",
@@ -411,7 +436,7 @@ ORACLE = {
     "io_split_json": with_views("select o_orderkey, label, year, case year when '1999' then 'validation' when '2000' then 'test' when '2001' then 'test' else 'train' end"
         " as split from v_sampled ",
     ),
-    "io_task_split": "select text, cast(doc_id%14 as int) as label, 'validation' as split from documents where doc_id%10=8",
+    "io_task_split": f"select text, cast(doc_id%14 as int) as label, 'validation' as split from documents where {PLACE}=8",
     "io_choice_csv": with_views(rf"""select doc_id, cast(choice as int) choice,
           cast(len(regexp_extract_all(context || ' ' || ending, '{WORD_PATTERN}')) as int) n_words
         from (select *, sum(length('"' || replace(ending,'"','""') || '",')) over (partition by doc_id) + length(doc_id::varchar)

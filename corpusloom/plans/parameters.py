@@ -21,4 +21,5 @@ TOP_SEEDS = 3
 PATIENCE = 3
 CAP = 100
 SVM_VOCABULARY_SIZES = (1_000, 2_000)
-SVM_ITERATIONS = 20
+#: Share of the train rows that each seed of a baseline draws.
+SVM_TRAIN_SHARE = 0.9

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -43,7 +43,7 @@ from corpusloom.plans.parameters import (
     SEGMENT_WORDS,
     SEGMENTS,
     SEQUENCE,
-    SVM_ITERATIONS,
+    SVM_TRAIN_SHARE,
     SVM_VOCABULARY_SIZES,
     TASKS,
     TOKEN_VOCABULARY,
@@ -183,7 +183,7 @@ def choice_scores(spark: SparkSession, folder: str) -> DataFrame:
 def eval_choice_argmax(spark, folder):
     """Choices scored one per row, regrouped, the first best one picked."""
     scores = pooling.regroup_choices(choice_scores(spark, folder), "doc_id", "choice", "score")
-    gold = views.table(spark, folder, "documents").select("doc_id", (F.col("doc_id") % 5).cast("int").alias("label"))
+    gold = views.table(spark, folder, "documents").select("doc_id", views.choice_label().alias("label"))
     picked = evaluation.align(gold, scores, "doc_id", True).withColumn("predicted", L.argmax(F.col("scores")))
     return picked.select("doc_id", "label", "predicted")
 
@@ -476,7 +476,9 @@ def text_batched_map(spark, folder):
 
 
 def documents_with_tokens(spark: SparkSession, folder: str) -> DataFrame:
-    return tfidf.with_tokens(views.documents(spark, folder).select("doc_id", "text"), "text")
+    """(doc_id, tokens), stored: every later count reads the terms, not the text."""
+    docs = tfidf.with_tokens(views.documents(spark, folder).select("doc_id", "text"), "text")
+    return cache.spool(docs.select("doc_id", "tokens"))
 
 
 @query
@@ -511,57 +513,122 @@ def tfidf_weights(spark, folder):
 SVM_GRID = svm.grid(sizes=SVM_VOCABULARY_SIZES)
 
 
-@query
-def svm_multiclass_grid(spark, folder):
-    """Language from text: grid search on the validation split, then the best point on all splits."""
+def language_rows(spark: SparkSession, folder: str) -> DataFrame:
     names = F.array(*[F.lit(x) for x in views.LANGUAGES])
-    rows = views.documents(spark, folder).select(
+    return views.documents(spark, folder).select(
         "doc_id",
         "text",
         views.split_column().alias("split"),
         (F.array_position(names, F.col("lang")) - 1).cast("int").alias("label"),
     )
-    features: dict[int, DataFrame] = {}
 
-    def features_for(size: int) -> DataFrame:
-        features[size] = cache.spool(svm.featurise(rows, "text", size, tfidf.MIN_DOCUMENTS).drop("text"))
-        return features[size]
 
-    def predict(prepared: DataFrame, penalty: float) -> DataFrame:
-        return svm.fit_predict_multiclass(prepared, "label", penalty, SVM_ITERATIONS)
+def choice_features(spark: SparkSession, folder: str, sizes: Iterable[int]) -> dict[int, DataFrame]:
+    """Stored features of the choice task by vocabulary size; its rows are made once."""
+    rows = cache.spool(svm.choice_columns(views.choice(spark, folder)).withColumn("split", views.split_column()))
+    columns = ["context", *[f"option_{i}" for i in range(1, views.N_ENDINGS + 1)]]
+    return {
+        size: cache.spool(svm.featurise_choices(rows, columns, size, tfidf.MIN_DOCUMENTS).drop(*columns)) for size in sizes
+    }
 
-    scores = svm.grid_search(
-        spark, SVM_GRID, features_for, predict, lambda p: evaluation.accuracy(p, "label", "predicted")
-    )
-    best = svm.best_point(scores).first()
-    runs = None
-    for seed in SEEDS[:2]:
-        sample = svm.train_sample(features[best["max_features"]], "doc_id", seed, 0.9)
-        run = svm.split_scores(predict(sample, best["penalty"]), "label").withColumn("seed", F.lit(seed))
-        runs = run if runs is None else runs.unionByName(run)
-    return svm.over_seeds(runs).select(
-        F.lit(best["max_features"]).alias("max_features"), F.lit(best["penalty"]).alias("penalty"), "*"
+
+@query
+def svm_multiclass_grid(spark, folder):
+    """Language from text: the best point of the validation split, mean and deviation over the seeds."""
+    rows = language_rows(spark, folder)
+    return svm.search_and_rate(
+        spark,
+        SVM_GRID,
+        lambda size: cache.spool(svm.featurise(rows, "text", size, tfidf.MIN_DOCUMENTS)),
+        lambda prepared, penalty: svm.fit_predict_multiclass(prepared, "label", penalty),
+        lambda predicted: svm.split_scores(predicted, "label"),
+        "doc_id",
+        SEEDS,
+        SVM_TRAIN_SHARE,
     )
 
 
 @query
 def svm_multilabel(spark, folder):
-    """Quality and toxicity from text: one SVM per label, scored with the zero class."""
-    rows = evaluation.align(
-        views.multilabel_gold(spark, folder), views.documents(spark, folder).select("doc_id", "text"), "doc_id"
-    ).withColumn("split", views.split_column())
-    prepared = cache.spool(svm.featurise(rows, "text", MAX_FEATURES, tfidf.MIN_DOCUMENTS).drop("text"))
-    predicted = svm.fit_predict_multilabel(prepared, "labels", LABELS, 1.0, SVM_ITERATIONS)
-    return svm.split_scores(predicted, "labels", multilabel=LABELS)
+    """Quality and toxicity from text: one SVM per label, searched, seeded, scored with the zero class."""
+    rows = cache.spool(
+        evaluation.align(
+            views.multilabel_gold(spark, folder), views.documents(spark, folder).select("doc_id", "text"), "doc_id"
+        ).withColumn("split", views.split_column())
+    )
+    return svm.search_and_rate(
+        spark,
+        SVM_GRID,
+        lambda size: cache.spool(svm.featurise(rows, "text", size, tfidf.MIN_DOCUMENTS)),
+        lambda prepared, penalty: svm.fit_predict_multilabel(prepared, "labels", LABELS, penalty),
+        lambda predicted: svm.split_scores(predicted, "labels", multilabel=LABELS),
+        "doc_id",
+        SEEDS,
+        SVM_TRAIN_SHARE,
+    )
 
 
 @query
 def svm_choice(spark, folder):
-    """Choice from six TF-IDF blocks: the context and each of the five options."""
-    rows = svm.choice_columns(views.choice(spark, folder)).withColumn("split", views.split_column())
-    columns = ["context", *[f"option_{i}" for i in range(1, 6)]]
-    prepared = cache.spool(svm.featurise_choices(cache.spool(rows), columns, MAX_FEATURES, tfidf.MIN_DOCUMENTS).drop(*columns))
-    return svm.split_scores(svm.fit_predict_multiclass(prepared, "label", 1.0, SVM_ITERATIONS), "label")
+    """Choice from six TF-IDF blocks, the context and each of the five options: searched and seeded."""
+    prepared = choice_features(spark, folder, SVM_VOCABULARY_SIZES)
+    return svm.search_and_rate(
+        spark,
+        SVM_GRID,
+        prepared.get,
+        lambda rows, penalty: svm.fit_predict_multiclass(rows, "label", penalty),
+        lambda predicted: svm.split_scores(predicted, "label"),
+        "doc_id",
+        SEEDS,
+        SVM_TRAIN_SHARE,
+    )
+
+
+@query
+def svm_choice_predictions(spark, folder):
+    """Choice of every held-out row; the marks of the endings tell it, so it must be the gold one."""
+    prepared = choice_features(spark, folder, [MAX_FEATURES])[MAX_FEATURES]
+    predicted = svm.fit_predict_multiclass(prepared, "label", 10.0)
+    return predicted.where("split <> 'train'").select("doc_id", "split", "predicted")
+
+
+@query
+def svm_choice_classes(spark, folder):
+    """Rows of each class in each split of the choice task."""
+    rows = views.table(spark, folder, "documents").select(views.split_column().alias("split"), views.choice_label().alias("label"))
+    return rows.groupBy("split", "label").agg(F.count("*").alias("n"))
+
+
+def grid_runs(spark: SparkSession, folder: str) -> DataFrame:
+    """A table of validation scores by grid point, from order lines."""
+    sums = views.table(spark, folder, "lineitem").groupBy((F.col("l_partkey") % len(SVM_GRID)).cast("int").alias("grid_index"))
+    return sums.agg(((F.sum(F.floor("l_quantity")).cast("bigint") % 3).cast("double") / 4).alias("score"))
+
+
+@query
+def svm_best_point(spark, folder):
+    """The grid point of the highest score, the first of equals."""
+    return svm.best_point(grid_runs(spark, folder)).select("grid_index", "score")
+
+
+@query
+def svm_over_seeds(spark, folder):
+    """Mean and deviation over the seeds of a score table, by model and task."""
+    runs = views.all_runs(spark, folder).select(
+        F.concat_ws("-", F.col("model").cast("string"), F.col("task").cast("string")).alias("split"),
+        "seed",
+        F.col("predict_micro_f1").alias("micro_f1"),
+        F.col("predict_macro_f1").alias("macro_f1"),
+    )
+    return rounded(svm.over_seeds(runs), "micro_f1_mean", "micro_f1_std", "macro_f1_mean", "macro_f1_std")
+
+
+@query
+def svm_features(spark, folder):
+    """Weights of held-out documents: vocabulary and idf of the train rows only."""
+    docs = documents_with_tokens(spark, folder).withColumn("split", views.split_column())
+    weights = tfidf.term_weights(docs.where("split <> 'train'"), "doc_id", MAX_FEATURES, fit_on=docs.where("split = 'train'"))
+    return rounded(weights, "weight")
 
 
 # --- vectors -----------------------------------------------------------------

@@ -5,7 +5,7 @@ Each view reads its whole source tables; nothing is filtered away to save work.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.functions.arrays import unroll
@@ -13,6 +13,9 @@ from corpusloom.operators.curation import CLAUSE_LABELS
 from corpusloom.operators.lookups import lookup_join
 
 LANGUAGES = ("de", "en", "es", "fr")
+N_ENDINGS = 5
+#: Words at the end of a gold ending and of the others; without them nothing would tell the choice.
+GOLD_MARK, OTHER_MARK = "foregone conclusion reached", "unlikely outcome described"
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -32,9 +35,20 @@ def documents(spark: SparkSession, folder: str) -> DataFrame:
     return docs
 
 
+def draw(seed: str, id_column: str, n: int) -> Column:
+    """A number from 0 to n - 1, told by a digest of seed and id, so draws of other seeds are unrelated."""
+    digest = F.md5(F.concat(F.lit(f"{seed}:"), F.col(id_column).cast("string")))
+    return (F.conv(F.substring(digest, 1, 8), 16, 10).cast("bigint") % n).cast("int")
+
+
+def choice_label(id_column: str = "doc_id") -> Column:
+    """Place of the gold ending among a document's five."""
+    return draw("gold", id_column, N_ENDINGS)
+
+
 def split_column(id_column: str = "doc_id"):
-    """A split for tables that come without one: 80 / 10 / 10 by id."""
-    place = F.col(id_column) % 10
+    """A split for tables that come without one: 80 / 10 / 10 by a digest of the id."""
+    place = draw("split", id_column, 10)
     return F.when(place < 8, "train").when(place == 8, "validation").otherwise("test")
 
 
@@ -70,18 +84,23 @@ def multiclass(spark: SparkSession, folder: str) -> DataFrame:
 def choice_items(spark: SparkSession, folder: str) -> DataFrame:
     """(doc_id, k, item_id): the five benchmark passages each document is paired with."""
     n_items = table(spark, folder, "benchmark").agg(F.count("*")).scalar()
-    slots = table(spark, folder, "documents").select("doc_id", F.explode(F.sequence(F.lit(0), F.lit(4))).alias("k"))
+    slots = table(spark, folder, "documents").select("doc_id", F.explode(F.sequence(F.lit(0), F.lit(N_ENDINGS - 1))).alias("k"))
     return slots.select("doc_id", "k", ((F.col("doc_id") + F.col("k") * 7) % n_items).alias("item_id"))
 
 
 def choice(spark: SparkSession, folder: str) -> DataFrame:
-    """(doc_id, context, endings, label): a document, five passages, the gold choice."""
+    """(doc_id, context, endings, label): a document, five passages, the gold choice.
+
+    The gold passage ends with one mark, the others with another.
+    """
     items = table(spark, folder, "benchmark").select("item_id", F.col("text").alias("ending"))
     slots = lookup_join(choice_items(spark, folder), items, "item_id", spread_by=["doc_id", "k"])
+    mark = F.when(F.col("k") == choice_label(), GOLD_MARK).otherwise(OTHER_MARK)
+    slots = slots.withColumn("ending", F.concat_ws(" ", "ending", mark))
     ordered = F.sort_array(F.collect_list(F.struct("k", "ending")))
     endings = slots.groupBy("doc_id").agg(F.transform(ordered, lambda e: e["ending"]).alias("endings"))
     docs = documents(spark, folder).select("doc_id", F.col("text").alias("context"))
-    return docs.join(endings, "doc_id").withColumn("label", (F.col("doc_id") % 5).cast("int"))
+    return docs.join(endings, "doc_id").withColumn("label", choice_label())
 
 
 def orders_brands(spark: SparkSession, folder: str) -> DataFrame:
@@ -218,6 +237,6 @@ def tasks(spark: SparkSession, folder: str) -> DataFrame:
     choices = table(spark, folder, "documents").select(
         F.lit("choice").alias("task"),
         split_column().alias("split"),
-        F.array((F.col("doc_id") % 5).cast("int")).alias("labels"),
+        F.array(choice_label()).alias("labels"),
     )
     return two_labels.unionByName(languages).unionByName(choices)

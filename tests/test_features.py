@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from corpusloom.functions import sequences as S
 from corpusloom.functions import text as T
 from corpusloom.operators import encoding, pooling, svm, tfidf
+from corpusloom.sources import cache
 
 WORDS = "court law judge appeal right contract party treaty article state the of and".split()
 
@@ -155,6 +156,7 @@ def test_multilabel_baseline_handles_constant_labels(topics):
     rows = svm.fit_predict_multilabel(svm.featurise(topics, "text", 30, 5), "labels", 4, 1.0, 10)
     held_out = rows.where("split = 'test'").collect()
     assert all(r["predicted"] == r["labels"] for r in held_out)
+    assert all([s > 0 for s in r["scores"]] == [i in r["labels"] for i in range(4)] for r in held_out)
     scores = {r["split"]: r["macro_f1"] for r in svm.split_scores(rows, "labels", multilabel=4).collect()}
     # three of five labels, the zero class among them, are perfect; two never occur
     assert scores["test"] == pytest.approx(3 / 5)
@@ -175,6 +177,31 @@ def test_choice_blocks_sit_side_by_side(spark):
     assert all(r["predicted"] == r["label"] for r in predicted)
 
 
+def test_search_and_seeds_of_a_multilabel_task(spark, topics):
+    got = svm.search_and_rate(
+        spark,
+        svm.grid(sizes=(30,), penalties=(1.0, 10.0)),
+        lambda size: cache.spool(svm.featurise(topics, "text", size, 5)),
+        lambda rows, c: svm.fit_predict_multilabel(rows, "labels", 4, c, 10),
+        lambda rows: svm.split_scores(rows, "labels", multilabel=4),
+        "doc_id",
+        (1, 2),
+    )
+    rows = got.collect()
+    assert sorted(r["split"] for r in rows) == ["test", "validation"]
+    assert all((r["max_features"], r["penalty"], r["n_seeds"], r["micro_f1_std"]) == (30, 1.0, 2, 0.0) for r in rows)
+
+
+def test_encoding_refuses_a_vocabulary_without_bound(spark, monkeypatch):
+    df = spark.createDataFrame([(1, [["a", None, "b"], None], ["a", "b"]), (2, None, [])], "id int, s array<array<string>>, tokens array<string>")
+    vocabulary = encoding.token_vocabulary(df, "tokens", 10)
+    got = {r["id"]: r["rows"] for r in encoding.encode_rows(df, "id", F.col("s"), vocabulary).collect()}
+    assert got == {1: [[2, 1, 3], []], 2: None}
+    monkeypatch.setattr(encoding, "MAX_VOCABULARY", 1)
+    with pytest.raises(ValueError):
+        encoding.encode_rows(df, "id", F.col("s"), vocabulary)
+
+
 def test_best_point_ties_go_to_the_first(spark):
     scores = spark.createDataFrame([(2, 0.9), (1, 0.9), (0, 0.1)], "grid_index int, score double")
     assert svm.best_point(scores).first()["grid_index"] == 1
