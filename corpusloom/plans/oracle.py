@@ -446,4 +446,12 @@ ORACLE = {
     ),
     "io_json_records": with_views("select to_json({'o_orderkey': o_orderkey, 'labels': labels, 'year': year})::varchar as value from v_orders_brands ",
     ),
+    "io_run_tree": with_views("select cast(task as varchar) as task, cast(model as varchar) as model, seed, eval_micro_f1,"
+        " eval_macro_f1, predict_micro_f1, predict_macro_f1 from v_runs where (model+task+seed)%9<>0",
+    ),
+    "io_train_logs": with_views("select cast(task as varchar) as task, cast(model as varchar) as model,"
+        " cast(seed as int) as seed, epochs, runtime from v_last_entries ",
+    ),
+    "io_feature_cache":
+        f"select doc_id, cast(len(regexp_extract_all(text, '{WORD_PATTERN}')) as int) n_words from documents",
 }

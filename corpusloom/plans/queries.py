@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterable
 
 import pandas as pd
@@ -856,3 +857,34 @@ def io_choice_csv(spark, folder):
 def io_json_records(spark, folder):
     """Each curated order as one JSON record."""
     return writers.encode_records(views.orders_brands(spark, folder).select("o_orderkey", "labels", "year"))
+
+
+@query
+def io_run_tree(spark, folder):
+    """A tree of run results, written in one job and read back without its broken and partial files."""
+    names = {m: m.replace("_f1", "-f1") for m in readers.METRICS}
+    whole = F.to_json(F.struct(*[F.col(m).alias(n) for m, n in names.items()]))
+    broken = (F.col("model") + F.col("task") + F.col("seed")) % 9 == 0
+    runs = views.all_runs(spark, folder).withColumn("value", F.when(broken, F.substring(whole, 1, 20)).otherwise(whole))
+    root = fresh(spark, "runs")
+    writers.write_run_files(runs, "value", root, "all_results.json")
+    return readers.read_runs(spark, root).select("task", "model", "seed", *readers.METRICS)
+
+
+@query
+def io_train_logs(spark, folder):
+    """Trainer states, written in one job and read back: epochs and runtime of the last entry."""
+    logs = views.train_logs(spark, folder).withColumn("value", F.to_json(F.struct("log_history")))
+    root = fresh(spark, "states")
+    writers.write_run_files(logs, "value", root, "trainer_state.json")
+    return readers.read_train_logs(spark, root)
+
+
+@query
+def io_feature_cache(spark, folder):
+    """Words per document, built once; a second call under the key reads what is stored."""
+    built = views.table(spark, folder, "documents").select("doc_id", T.word_count(F.col("text")).alias("n_words"))
+    key = f"{cache.feature_key(built, feature='words')}/{uuid.uuid4().hex}"
+    cache.materialize(built, key)
+    # had this call built, it would return no row
+    return cache.materialize(built.limit(0), key)

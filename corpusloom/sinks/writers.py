@@ -34,6 +34,17 @@ def write_metrics(metrics: DataFrame, folder: str, task: str, model: str, seed:
     metrics.coalesce(1).write.mode(_mode(overwrite)).json(path)
 
 
+def write_run_files(rows: DataFrame, column: str, folder: str, file: str, overwrite: bool = False) -> None:
+    """A file per (task, model, seed), the JSON text of ``column``, in one job; read as a run tree.
+
+    The keys hold one row each and name the folders, so they must be free of slashes.
+    """
+    keys = ("task", "model", "seed")
+    rows.select(*keys, F.lit(file).alias("file"), F.col(column).alias("value")).write.mode(_mode(overwrite)).partitionBy(
+        *keys, "file"
+    ).text(f"{folder}/logs")
+
+
 def encode_records(rows: DataFrame) -> DataFrame:
     """Each row as one JSON string."""
     return rows.select(F.to_json(F.struct("*")).alias("value"))

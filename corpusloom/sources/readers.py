@@ -90,14 +90,15 @@ def _run_files(spark: SparkSession, folder: str, file: str, schema: T.StructType
     """Readable JSON files named ``logs/task/model/seed_n/file`` with their keys.
 
     A model id may contain slashes. A result may also be a folder of that name,
-    as Spark writes it. Malformed files are skipped.
+    as Spark writes it, and folders may be named ``key=value`` (see
+    ``writers.write_run_files``). Malformed files are skipped.
     """
-    pattern = rf"/logs/([^/]+)/(.+)/seed_(\d+)/{re.escape(file)}(?:/part-[^/]*)?$"
+    pattern = rf"/logs/(?:task=)?([^/]+)/(?:model=)?(.+)/seed[_=](\d+)/(?:file=)?{re.escape(file)}(?:/part-[^/]*)?$"
     path = F.col("_metadata.file_path")
     return (
         spark.read.schema(schema)
         .option("recursiveFileLookup", True)
-        .option("pathGlobFilter", "*.json")
+        .option("pathGlobFilter", "{*.json,part-*}")
         .option("multiLine", True)
         .option("mode", "PERMISSIVE")
         .json(f"{folder}/logs")
