@@ -59,22 +59,26 @@ def held(owner: str, name: Any, make: Callable[[], Any]) -> Any:
 def per_text(
     docs: DataFrame,
     text: str,
-    kernel: Callable[[], Callable[[list[bytes | None]], dict[str, pa.Array]]],
+    kernel: Callable[[], Callable[..., dict[str, pa.Array]]],
     result: T.StructType,
     keep: Iterable[str] | None = None,
+    beside: str | None = None,
 ) -> DataFrame:
     """(row, out): the ``keep`` columns of ``docs`` (all by default) and what the kernel makes of the text.
 
     Both are structs, so a column of the input may bear the name of a result. The
     kernel is made once per task and called with the UTF-8 texts of up to ``SLICE``
-    rows, null where the text is null. One pass over the scan, no shuffle. The session's
-    Arrow batches are set to ``BATCH_BYTES``.
+    rows, null where the text is null, and with the strings of the column ``beside`` if
+    there is one. One pass over the scan, no shuffle. The session's Arrow batches are
+    set to ``BATCH_BYTES``.
     """
     ship(docs.sparkSession)
     docs.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
     names = list(docs.columns if keep is None else keep)
     source = docs.select(
-        F.struct(*[column(c).alias(c) for c in names]).alias("row"), column(text).cast("binary").alias("text")
+        F.struct(*[column(c).alias(c) for c in names]).alias("row"),
+        column(text).cast("binary").alias("text"),
+        *([] if beside is None else [column(beside).cast("string").alias("beside")]),
     )
     schema = T.StructType([T.StructField("row", source.schema["row"].dataType), T.StructField("out", result)])
     fields = result.names
@@ -84,7 +88,7 @@ def per_text(
         for batch in batches:
             for start in range(0, batch.num_rows, SLICE):
                 part = batch.slice(start, SLICE)
-                made = work(part.column(1).to_pylist())
+                made = work(*[c.to_pylist() for c in part.columns[1:]])
                 out = pa.StructArray.from_arrays([made[f] for f in fields], names=fields)
                 yield pa.RecordBatch.from_arrays([part.column(0), out], names=["row", "out"])
 

@@ -78,6 +78,21 @@ def test_quality_rules_odd_rows(odd, none):
     assert quality_rules.judge(none).count() == 0
 
 
+def test_bands_of_a_language_reject_its_bad_texts(spark):
+    folder = "/root/testdata/sf0.1"
+    labels = spark.read.parquet(f"{folder}/labels.parquet")
+    docs = spark.read.parquet(f"{folder}/documents.parquet").join(labels, "doc_id")
+    rows = quality_rules.judge(docs, keep=["quality"]).where("not out.base_failed").select("row.quality", "out.kept").collect()
+    good, bad = ([r["kept"] for r in rows if r["quality"] == q] for q in (1, 0))
+    assert bad.count(False) >= 0.55 * len(bad) and good.count(False) <= 0.02 * len(good)
+
+
+def test_band_of_a_text():
+    bands = {"latin": quality_rules.Band(1, 9, 1, 1), "other": quality_rules.Band(3, 9, 1, 1), "latin-en": quality_rules.Band(2, 9, 1, 1)}
+    found = [quality_rules.band_of(s, c, bands)[0] for s, c in (("latin", "en"), ("latin", "EN_gb"), ("latin", "xx"), ("latin", None), ("han", "en"))]
+    assert found == [2, 2, 1, 1, 3]
+
+
 # packing
 
 
