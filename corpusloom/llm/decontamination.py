@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corpusloom.llm.ship import ship
-from corpusloom.llm.texts import column, held, per_text
+from corpusloom.llm.texts import column, folded, held, per_text
 from corpusloom.operators.lookups import fits_broadcast
 from corpusloom.sources.cache import spool
 
@@ -56,8 +56,8 @@ _EDGE = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
 def tokens(text: bytes | None) -> list[bytes]:
-    """Words in lower case (A-Z) without ASCII punctuation at their ends; bare punctuation is no token."""
-    return [t for t in (w.strip(_EDGE) for w in (text or b"").lower().split()) if t]
+    """Words without case and without ASCII punctuation at their ends; bare punctuation is no token."""
+    return [t for t in (w.strip(_EDGE) for w in folded(text).split()) if t]
 
 
 def windows(ids: np.ndarray, width: int) -> np.ndarray:

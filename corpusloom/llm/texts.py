@@ -137,6 +137,14 @@ class Grown:
         return self._data[: self._n]
 
 
+def folded(text: bytes | None) -> bytes:
+    """The text without case, by Unicode's full folding; bytes that are not UTF-8 stay as they are."""
+    text = text or b""
+    if text.isascii():
+        return text.lower()
+    return text.decode("utf-8", "surrogateescape").casefold().encode("utf-8", "surrogateescape")
+
+
 def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """The positions start, start + 1, ... of every run, one after the other."""
     total = int(lengths.sum())

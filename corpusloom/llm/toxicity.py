@@ -27,7 +27,7 @@ from pyspark.sql import types as T
 
 from corpusloom.llm.calibration import bounded, fit_logistic, labelled, logistic
 from corpusloom.llm.ship import ship
-from corpusloom.llm.texts import MAX_WORDS, SLICE, Grown, WordIds, per_text, release_others
+from corpusloom.llm.texts import MAX_WORDS, SLICE, Grown, WordIds, folded, per_text, release_others
 from corpusloom.sources.cache import spool
 
 #: Taken off every count and given to the backoff.
@@ -63,7 +63,7 @@ class Expressions:
 
     def of(self, text: bytes | None) -> np.ndarray:
         """Numbers of the text's expressions, in order."""
-        ids = self.words.ids((text or b"").lower().split())
+        ids = self.words.ids(folded(text).split())
         if self.words.fresh:
             bare = [w.strip(_EDGE) for w in self.words.take_fresh()]
             self.number.add([self.bare[w] if w else -1 for w in bare])

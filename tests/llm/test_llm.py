@@ -165,6 +165,11 @@ def test_text_counts_are_brute_force_counts(marked):
     assert found.toxic.sum() == sum(len(w) for w, t in texts if t)
 
 
+def test_expressions_have_no_case():
+    known = toxicity.Expressions()
+    assert known.of("¡Él, ÑOÑO!".encode()).tolist() == known.of("¡él ñoño".encode()).tolist() == [0, 1]
+
+
 def test_scores_of_odd_rows(spark, odd, none):
     labels = spark.createDataFrame([(4, 1, 0), (2, 0, 1), (None, 1, 1), (5, None, None)], "doc_id bigint, toxic int, quality int")
     everyone = F.lit(True)
@@ -254,6 +259,15 @@ def test_tiles_like_brute_force():
     assert known.find(b"one two three one two three") == [(0, 3, 10, 1)]
 
 
+def test_items_in_accented_capitals(spark):
+    item = "El niño cogió su cámara y salió después al jardín, más allá del árbol"
+    benchmark = spark.createDataFrame([(1, item), (2, "ÉTÉ")], "item_id bigint, text string")
+    docs = spark.createDataFrame([(1, f"Antes. {item.upper()} FIN"), (2, "un été là"), (3, "EL NINO COGIO SU CAMARA")], "doc_id bigint, text string")
+    for bytes_sent in (decontamination.MAX_ITEM_BYTES, 0):
+        rows = decontamination.find(docs, benchmark, max_item_bytes=bytes_sent).collect()
+        assert sorted((r["row"]["doc_id"], [f["item"] for f in r["found"]]) for r in rows) == [(1, [1]), (2, [2]), (3, [])]
+
+
 def test_both_ways_find_the_same(spark, odd, none):
     items = [(1, "the quick brown fox jumps over the lazy dog"), (2, None), (3, ""), (4, "d e f"), (4, "d e f")]
     benchmark = spark.createDataFrame(items, "item_id bigint, text string")
