@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from corpusloom.llm import vocabularies
-from corpusloom.llm.texts import MAX_WORDS, Grown, WordIds, held, per_text, ragged
+from corpusloom.llm.texts import MAX_WORDS, Grown, WordIds, column, held, per_text, ragged
 
 
 class Band(NamedTuple):
@@ -244,4 +244,5 @@ def judge(
 
         return work
 
-    return per_text(docs, text, kernel, RESULT, keep, language if language in docs.columns else None)
+    told = column(language).cast("string") if language in docs.columns else None
+    return per_text(docs, text, kernel, RESULT, keep, told)

@@ -62,13 +62,13 @@ def per_text(
     kernel: Callable[[], Callable[..., dict[str, pa.Array]]],
     result: T.StructType,
     keep: Iterable[str] | None = None,
-    beside: str | None = None,
+    beside: Column | None = None,
 ) -> DataFrame:
     """(row, out): the ``keep`` columns of ``docs`` (all by default) and what the kernel makes of the text.
 
     Both are structs, so a column of the input may bear the name of a result. The
     kernel is made once per task and called with the UTF-8 texts of up to ``SLICE``
-    rows, null where the text is null, and with the strings of the column ``beside`` if
+    rows, null where the text is null, and with the values of the column ``beside`` if
     there is one. One pass over the scan, no shuffle. The session's Arrow batches are
     set to ``BATCH_BYTES``.
     """
@@ -78,7 +78,7 @@ def per_text(
     source = docs.select(
         F.struct(*[column(c).alias(c) for c in names]).alias("row"),
         column(text).cast("binary").alias("text"),
-        *([] if beside is None else [column(beside).cast("string").alias("beside")]),
+        *([] if beside is None else [beside.alias("beside")]),
     )
     schema = T.StructType([T.StructField("row", source.schema["row"].dataType), T.StructField("out", result)])
     fields = result.names

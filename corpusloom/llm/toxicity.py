@@ -9,8 +9,12 @@ over its highest windows of ``WINDOWS`` words, becomes a score by a logistic cur
 fitted on labelled rows that gave no counts.
 
 Counts come from all labelled rows but those. A task counts the distinct words of its
-texts, Spark adds them up, and the model sent to the tasks has a fixed size:
-expressions are hashed to ``BUCKETS`` places. Scoring is one pass without a shuffle.
+texts, and Spark adds them up by the 64-bit hash into a written table that grows with
+the corpus. An expression that no class has more than ``DISCOUNT`` times has the ratio
+of one never seen, so the ratios of the others say all. Up to ``MAX_SENT`` of them, the
+most frequent, are sent to the tasks; with them alone scoring is one pass without a
+shuffle. Where there are more, the distinct remaining expressions of every text meet
+the rest of the ratios by a salted join, and the scores are the same.
 """
 
 from __future__ import annotations
@@ -27,14 +31,15 @@ from pyspark.sql import types as T
 
 from corpusloom.llm.calibration import bounded, fit_logistic, labelled, logistic
 from corpusloom.llm.ship import ship
-from corpusloom.llm.texts import MAX_WORDS, SLICE, Grown, WordIds, folded, per_text, release_others
+from corpusloom.llm.texts import MAX_WORDS, SLICE, Grown, WordIds, column, folded, per_text, release_others
+from corpusloom.operators.lookups import lookup_join
 from corpusloom.sources.cache import spool
 
 #: Taken off every count and given to the backoff.
 DISCOUNT = 2.0
 WINDOWS = (1, 3, 10)
-BITS = 22
-BUCKETS = 1 << BITS
+#: Ratios sent to every task at most, 12 bytes each.
+MAX_SENT = 4_000_000
 #: Rows the curve is fitted on, at most; one in ``CURVE_SHARE`` labelled rows is set apart for it.
 CURVE = 20_000
 CURVE_SHARE = 5
@@ -44,16 +49,26 @@ _EDGE = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 NAMES = ("mean_ratio", *[f"peak_{w}" for w in WINDOWS])
 FIGURES = T.StructType([T.StructField(f, T.DoubleType(), False) for f in NAMES])
 SCORE = T.StructType([*FIGURES.fields, T.StructField("score", T.DoubleType(), False)])
-COUNTED = "place bigint, ordinary bigint, toxic bigint"
+COUNTED = "hash bigint, ordinary bigint, toxic bigint"
+RARE = T.StructType([T.StructField("rare", T.ArrayType(T.LongType(), False), False)])
 
 
-class Model(NamedTuple):
-    """Toxic minus ordinary log-likelihood by place, and the weights of the curve."""
+class Sent(NamedTuple):
+    """Toxic minus ordinary log-likelihood by hash, ascending; of an expression in no table; and the weights of the curve."""
 
+    hashes: np.ndarray
     ratios: np.ndarray
+    unseen: float
     weights: tuple[float, ...] = ()
 
 
+class Model(NamedTuple):
+    """What every task gets, and the (hash, ratio) beyond it, if any."""
+
+    sent: Sent
+    rest: DataFrame | None
+
+
 class Expressions:
     """Words of a worker, each with the number of its bare form (-1 if nothing is left) and that form's hash."""
 
@@ -72,21 +87,17 @@ class Expressions:
         return numbers[numbers >= 0]
 
 
-def place(hashes: np.ndarray) -> np.ndarray:
-    return (hashes >> M(64 - BITS)).astype(np.int64)
-
-
 def count(rows: DataFrame) -> DataFrame:
-    """(place, ordinary, toxic): how many texts of either class have an expression, of the rows (text, label)."""
+    """(hash, ordinary, toxic): how many texts of either class have an expression, of the rows (text, label)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, counts = Expressions(), np.zeros((0, 2), np.int64)
 
         def flush() -> pa.RecordBatch:
             n = len(known.bare)
-            columns = [place(known.hashes.values), counts[:n, 0], counts[:n, 1]]
+            columns = [known.hashes.values.view(np.int64), counts[:n, 0], counts[:n, 1]]
             return pa.RecordBatch.from_arrays(
-                [pa.array(c, pa.int64()) for c in columns], names=["place", "ordinary", "toxic"]
+                [pa.array(c, pa.int64()) for c in columns], names=["hash", "ordinary", "toxic"]
             )
 
         for batch in batches:
@@ -106,73 +117,125 @@ def count(rows: DataFrame) -> DataFrame:
 
     ship(rows.sparkSession)
     found = rows.select(F.col("text").cast("binary").alias("text"), "label").mapInArrow(run, COUNTED)
-    return found.groupBy("place").agg(F.sum("ordinary").alias("ordinary"), F.sum("toxic").alias("toxic"))
+    return found.groupBy("hash").agg(F.sum("ordinary").alias("ordinary"), F.sum("toxic").alias("toxic"))
 
 
-def log_ratios(counts: np.ndarray) -> np.ndarray:
-    """Toxic minus ordinary log-likelihood by place from the counts (2, places)."""
-    pooled = counts.sum(axis=0)
-    # half a context for what was never seen, as much in all as for every place that was
-    shared = (pooled + 0.5) / (pooled.sum() + 0.5 * max(int((pooled > 0).sum()), 1))
-    logs = []
-    for c in (0, 1):
-        total = max(float(counts[c].sum()), 1.0)
-        kept = np.maximum(counts[c] - DISCOUNT, 0)
-        left = 1 - float(kept.sum()) / total
-        logs.append(np.log(kept / total + left * shared))
-    return (logs[1] - logs[0]).astype(np.float32)
+def ratios(counted: DataFrame) -> tuple[DataFrame, float]:
+    """(hash, n, ratio) of all expressions whose ratio is not that of one never seen, and that ratio.
 
-
-def table(counted: DataFrame) -> np.ndarray:
-    """The ratios by place: one bounded array, whatever the corpus."""
-    found = counted.select("place", "ordinary", "toxic").toArrow()
-    at = found.column("place").to_numpy()
-    counts = np.zeros((2, BUCKETS))
-    counts[0, at], counts[1, at] = found.column("ordinary").to_numpy(), found.column("toxic").to_numpy()
-    return log_ratios(counts)
+    ``n`` is how many texts have the expression. Totals are those of the whole table.
+    """
+    n, classes = F.col("ordinary") + F.col("toxic"), ("ordinary", "toxic")
+    kept = {c: F.greatest(F.col(c) - DISCOUNT, F.lit(0.0)) for c in classes}
+    sums = counted.agg(
+        F.count("*").alias("seen"),
+        *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in classes],
+        *[F.coalesce(F.sum(kept[c]), F.lit(0.0)).alias(f"kept_{c}") for c in classes],
+    ).first()
+    # half a context for what was never seen, as much in all as for every expression that was
+    shared = (n + 0.5) / (sums["ordinary"] + sums["toxic"] + 0.5 * max(sums["seen"], 1))
+    total = {c: max(float(sums[c]), 1.0) for c in classes}
+    left = {c: 1 - sums[f"kept_{c}"] / total[c] for c in classes}
+    ordinary, toxic = (F.log(kept[c] / total[c] + left[c] * shared) for c in classes)
+    known = counted.where(F.greatest(*classes) > DISCOUNT)
+    unseen = float(np.log(left["toxic"]) - np.log(left["ordinary"]))
+    return known.select("hash", n.alias("n"), (toxic - ordinary).cast("float").alias("ratio")), unseen
+
+
+def learn_ratios(counted: DataFrame, max_sent: int = MAX_SENT) -> Model:
+    """The model without a curve; only the most frequent ``max_sent`` ratios at most leave the written table."""
+    found, unseen = ratios(spool(counted))
+    found = spool(found)
+    # classes of frequency, four to a doubling
+    rank = F.floor(4 * F.log2("n"))
+    sizes = sorted(((r["rank"], r["count"]) for r in found.groupBy(rank.alias("rank")).count().collect()), reverse=True)
+    total, least = 0, None
+    for value, size in sizes:
+        total += size
+        if total > max_sent:
+            break
+        least = value
+    else:
+        least = 0
+    often = F.lit(False) if least is None else rank >= least
+    sent = found.where(often).select("hash", "ratio").toArrow()
+    hashes = sent.column("hash").to_numpy().view(M)
+    order = np.argsort(hashes)
+    return Model(
+        Sent(hashes[order], sent.column("ratio").to_numpy()[order], unseen),
+        found.where(~often).select("hash", "ratio") if total > max_sent else None,
+    )
+
+
+def look_up(hashes: np.ndarray, sent: Sent) -> tuple[np.ndarray, np.ndarray]:
+    """The ratios of the hashes, and which of them the table has."""
+    if not len(sent.hashes):
+        return np.full(len(hashes), sent.unseen), np.zeros(len(hashes), bool)
+    at = np.minimum(np.searchsorted(sent.hashes, hashes), len(sent.hashes) - 1)
+    known = sent.hashes[at] == hashes
+    return np.where(known, sent.ratios[at].astype(np.float64), sent.unseen), known
 
 
 class Ratios:
     """The figures of texts; ratios are looked up once per distinct word."""
 
-    def __init__(self, model: Model) -> None:
-        self.table = model.ratios
+    def __init__(self, sent: Sent) -> None:
+        self.sent = sent
         self.clear()
 
     def clear(self) -> None:
-        self.known, self.ratio = Expressions(), Grown(np.float64)
+        self.expressions, self.ratio, self.known = Expressions(), Grown(np.float64), Grown(bool)
 
-    def of(self, text: bytes | None) -> list[float]:
-        """Mean ratio over the text, and in its highest window of each size."""
-        numbers = self.known.of(text)
-        fresh = self.known.hashes.values[len(self.ratio.values) :]
+    def numbers(self, text: bytes | None) -> np.ndarray:
+        numbers = self.expressions.of(text)
+        fresh = self.expressions.hashes.values[len(self.ratio.values) :]
         if len(fresh):
-            self.ratio.add(self.table[place(fresh)])
+            found, known = look_up(fresh, self.sent)
+            self.ratio.add(found)
+            self.known.add(known)
+        return numbers
+
+    def rare(self, text: bytes | None) -> np.ndarray:
+        """Hashes of the text's distinct expressions that were not sent."""
+        numbers = np.unique(self.numbers(text))
+        return self.expressions.hashes.values[numbers[~self.known.values[numbers]]].view(np.int64)
+
+    def of(self, text: bytes | None, more: list[dict] | None) -> list[float]:
+        """Mean ratio over the text, and in its highest window of each size; ``more`` are ratios that were not sent."""
+        numbers = self.numbers(text)
         if not len(numbers):
             return [0.0] * len(NAMES)
-        sums = np.concatenate([[0.0], np.cumsum(self.ratio.values[numbers])])
-        found = [float(sums[-1] / len(numbers))]
+        own = self.ratio.values[numbers]
+        if more:
+            others = sorted((m["hash"] % (1 << 64), m["ratio"]) for m in more)
+            table = Sent(np.array([h for h, _ in others], M), np.array([r for _, r in others], np.float32), 0.0)
+            found, known = look_up(self.expressions.hashes.values[numbers], table)
+            own = np.where(known, found, own)
+        sums = np.concatenate([[0.0], np.cumsum(own)])
+        made = [float(sums[-1] / len(numbers))]
         for window in WINDOWS:
             w = min(window, len(numbers))
-            found.append(float((sums[w:] - sums[:-w]).max() / w))
-        return found
+            made.append(float((sums[w:] - sums[:-w]).max() / w))
+        return made
 
-    def figures(self, texts: list[bytes | None]) -> np.ndarray:
-        if len(self.known.words) > MAX_WORDS:
+    def bound(self) -> None:
+        if len(self.expressions.words) > MAX_WORDS:
             self.clear()
-        return np.array([self.of(t) for t in texts]).reshape(-1, len(NAMES))
 
 
 def _scored(docs: DataFrame, model: Model, text: str, keep: list[str] | None, with_score: bool) -> DataFrame:
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+    sent = docs.sparkSession.sparkContext.broadcast(model.sent)
+    schema = SCORE if with_score else FIGURES
 
     def kernel():
         release_others("toxicity")
         ratios = Ratios(sent.value)
         weights = np.array(sent.value.weights)
 
-        def work(texts):
-            figures = ratios.figures(texts)
+        def work(texts, more=None):
+            ratios.bound()
+            pairs = zip(texts, more or [None] * len(texts), strict=True)
+            figures = np.array([ratios.of(t, m) for t, m in pairs]).reshape(-1, len(NAMES))
             out = {name: pa.array(figures[:, i]) for i, name in enumerate(NAMES)}
             if with_score:
                 out["score"] = pa.array(logistic(figures, weights))
@@ -180,7 +243,33 @@ def _scored(docs: DataFrame, model: Model, text: str, keep: list[str] | None, wi
 
         return work
 
-    return per_text(docs, text, kernel, SCORE if with_score else FIGURES, keep)
+    if model.rest is None:
+        return per_text(docs, text, kernel, schema, keep)
+
+    def kernel_of_rare():
+        release_others("toxicity")
+        ratios = Ratios(sent.value)
+
+        def work(texts):
+            ratios.bound()
+            return {"rare": pa.array([ratios.rare(t) for t in texts], pa.list_(pa.int64()))}
+
+        return work
+
+    names = list(docs.columns if keep is None else keep)
+    stored = spool(
+        docs.select(
+            F.struct(*[column(c).alias(c) for c in names]).alias("row"),
+            column(text).cast("binary").alias("text"),
+            F.monotonically_increasing_id().alias("rid"),
+        )
+    )
+    rare = per_text(stored, "text", kernel_of_rare, RARE, ["rid"])
+    pairs = rare.select("row.rid", F.explode("out.rare").alias("hash"))
+    found = lookup_join(pairs, model.rest, "hash", "inner", ["rid"])
+    more = found.groupBy("rid").agg(F.collect_list(F.struct("hash", "ratio")).alias("more"))
+    joined = stored.join(more, "rid", "left")
+    return per_text(joined, "text", kernel, schema, ["row"], F.col("more")).select("row.row", "out")
 
 
 def fit(
@@ -191,6 +280,7 @@ def fit(
     text: str = "text",
     label: str = "toxic",
     curve: int = CURVE,
+    max_sent: int = MAX_SENT,
 ) -> Model:
     """Models and curve from the labelled rows whose ``key`` fulfils ``learn``.
 
@@ -199,11 +289,12 @@ def fit(
     """
     rows = labelled(docs, labels, key, text, label).where(learn)
     apart = F.pmod(F.xxhash64(F.lit(2), "key"), F.lit(CURVE_SHARE)) == 0
-    model = Model(table(count(rows.where(~apart))))
+    model = learn_ratios(count(rows.where(~apart)), max_sent)
     held = spool(bounded(rows.where(apart), "key", curve, 21).select("label", "text"))
     figures = _scored(held, model, "text", ["label"], False).select("row.label", "out.*").toArrow()
     x = np.stack([figures.column(c).to_numpy() for c in NAMES], axis=1).astype(float)
-    return model._replace(weights=tuple(fit_logistic(x, figures.column("label").to_numpy().astype(float))))
+    weights = tuple(fit_logistic(x, figures.column("label").to_numpy().astype(float)))
+    return model._replace(sent=model.sent._replace(weights=weights))
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", keep: list[str] | None = None) -> DataFrame:

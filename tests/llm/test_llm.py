@@ -165,6 +165,32 @@ def test_text_counts_are_brute_force_counts(marked):
     assert found.toxic.sum() == sum(len(w) for w, t in texts if t)
 
 
+def test_every_expression_has_its_own_ratio(spark, marked):
+    # in 2^22 places over a thousand of them would share one
+    rows = [(" ".join(f"x{i}" for i in range(k * 20_000, (k + 1) * 20_000)), k % 2) for k in range(5)] * 3
+    texts = spark.createDataFrame(rows, "text string, label int")
+    counted = toxicity.count(texts)
+    assert counted.count() == 100_000
+    found, unseen = toxicity.ratios(counted)
+    assert found.count() == 100_000 and {r["n"] for r in found.select("n").distinct().collect()} == {3}
+    assert found.select("ratio").distinct().count() == 2
+    # what no class has more than DISCOUNT times is told by neither
+    few = toxicity.count(texts.limit(0).unionByName(spark.createDataFrame([("a b", 0), ("a c", 1)], "text string, label int")))
+    assert toxicity.ratios(few)[0].count() == 0
+
+
+def test_ratios_beyond_those_sent_score_alike(marked, odd):
+    labels = marked.select("doc_id", "toxic")
+    read = lambda df: sorted((r["row"]["doc_id"] or -1, tuple(round(x, 9) for x in r["out"])) for r in df.collect())
+    for docs in (marked, odd):
+        scored = []
+        for bound in (toxicity.MAX_SENT, 40, 0):
+            model = toxicity.fit(marked, labels, fold(F.col("key"), 3) != 1, max_sent=bound)
+            assert len(model.sent.hashes) <= bound and (model.rest is None) == (bound == toxicity.MAX_SENT)
+            scored.append(read(toxicity.score(docs, model, keep=["doc_id"])))
+        assert scored[0] == scored[1] == scored[2] and len(scored[0]) == docs.count()
+
+
 def test_expressions_have_no_case():
     known = toxicity.Expressions()
     assert known.of("¡Él, ÑOÑO!".encode()).tolist() == known.of("¡él ñoño".encode()).tolist() == [0, 1]
