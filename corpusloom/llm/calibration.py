@@ -29,12 +29,16 @@ def labelled(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str
     return lookup_join(docs.select(column(key).alias("key"), column(text).alias("text")), marks, "key", "inner", ["text"])
 
 
+def within(n: int, key: str, limit: int, seed: int) -> Column:
+    """True for about ``limit`` of ``n`` rows at most, chosen by a hash of the key; for all if there are fewer."""
+    if n <= limit:
+        return F.lit(True)
+    return F.pmod(F.xxhash64(F.lit(seed), F.col(key)), F.lit(1_000_000)) < int(1_000_000 * limit / n)
+
+
 def bounded(rows: DataFrame, key: str, limit: int, seed: int) -> DataFrame:
     """About ``limit`` rows at most, chosen by a hash of the key; all of them if there are fewer."""
-    n = rows.count()
-    if n <= limit:
-        return rows
-    return rows.where(F.pmod(F.xxhash64(F.lit(seed), F.col(key)), F.lit(1_000_000)) < int(1_000_000 * limit / n))
+    return rows.where(within(rows.count(), key, limit, seed))
 
 
 def fit_logistic(features: np.ndarray, labels: np.ndarray, l2: float = 1e-3) -> np.ndarray:

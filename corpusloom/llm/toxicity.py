@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corpusloom.llm.calibration import bounded, fit_logistic, labelled, logistic
+from corpusloom.llm.calibration import fit_logistic, labelled, logistic, within
 from corpusloom.llm.ship import ship
 from corpusloom.llm.texts import MAX_WORDS, SLICE, Grown, WordIds, column, folded, per_text, release_others
 from corpusloom.operators.lookups import lookup_join
@@ -40,7 +40,7 @@ DISCOUNT = 2.0
 WINDOWS = (1, 3, 10)
 #: Ratios sent to every task at most, 12 bytes each.
 MAX_SENT = 4_000_000
-#: Rows the curve is fitted on, at most; one in ``CURVE_SHARE`` labelled rows is set apart for it.
+#: Rows the curve is fitted on, at most, out of one in ``CURVE_SHARE`` labelled rows.
 CURVE = 20_000
 CURVE_SHARE = 5
 
@@ -284,13 +284,14 @@ def fit(
 ) -> Model:
     """Models and curve from the labelled rows whose ``key`` fulfils ``learn``.
 
-    One in ``CURVE_SHARE`` of them, by a hash of the key, gives no counts; of those at
-    most ``curve`` rows fit the curve. Without labels every text scores alike.
+    Of one in ``CURVE_SHARE`` of them, by a hash of the key, at most about ``curve`` rows
+    fit the curve; all others give counts. Without labels every text scores alike.
     """
     rows = labelled(docs, labels, key, text, label).where(learn)
     apart = F.pmod(F.xxhash64(F.lit(2), "key"), F.lit(CURVE_SHARE)) == 0
+    apart &= within(rows.where(apart).count(), "key", curve, 21)
     model = learn_ratios(count(rows.where(~apart)), max_sent)
-    held = spool(bounded(rows.where(apart), "key", curve, 21).select("label", "text"))
+    held = spool(rows.where(apart).select("label", "text"))
     figures = _scored(held, model, "text", ["label"], False).select("row.label", "out.*").toArrow()
     x = np.stack([figures.column(c).to_numpy() for c in NAMES], axis=1).astype(float)
     weights = tuple(fit_logistic(x, figures.column("label").to_numpy().astype(float)))

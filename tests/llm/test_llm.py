@@ -191,6 +191,13 @@ def test_ratios_beyond_those_sent_score_alike(marked, odd):
         assert scored[0] == scored[1] == scored[2] and len(scored[0]) == docs.count()
 
 
+def test_rows_beyond_those_of_the_curve_give_counts(marked, monkeypatch):
+    counted, real = [], toxicity.count
+    monkeypatch.setattr(toxicity, "count", lambda rows: counted.append(rows.count()) or real(rows))
+    toxicity.fit(marked, marked.select("doc_id", "toxic"), F.lit(True), curve=10)
+    assert 601 - 30 <= counted[0] < 601
+
+
 def test_expressions_have_no_case():
     known = toxicity.Expressions()
     assert known.of("¡Él, ÑOÑO!".encode()).tolist() == known.of("¡él ñoño".encode()).tolist() == [0, 1]
