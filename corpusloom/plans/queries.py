@@ -511,6 +511,7 @@ def tfidf_weights(spark, folder):
 
 # --- linear baselines ----------------------------------------------------------
 
+#: Grid of the score table that ``svm_best_point`` shares with its SQL; the searches run over ``svm.grid()``.
 SVM_GRID = svm.grid(sizes=SVM_VOCABULARY_SIZES)
 
 
@@ -539,7 +540,7 @@ def svm_multiclass_grid(spark, folder):
     rows = language_rows(spark, folder)
     return svm.search_and_rate(
         spark,
-        SVM_GRID,
+        svm.grid(),
         lambda size: cache.spool(svm.featurise(rows, "text", size, tfidf.MIN_DOCUMENTS)),
         lambda prepared, penalty: svm.fit_predict_multiclass(prepared, "label", penalty),
         lambda predicted: svm.split_scores(predicted, "label"),
@@ -559,7 +560,7 @@ def svm_multilabel(spark, folder):
     )
     return svm.search_and_rate(
         spark,
-        SVM_GRID,
+        svm.grid(),
         lambda size: cache.spool(svm.featurise(rows, "text", size, tfidf.MIN_DOCUMENTS)),
         lambda prepared, penalty: svm.fit_predict_multilabel(prepared, "labels", LABELS, penalty),
         lambda predicted: svm.split_scores(predicted, "labels", multilabel=LABELS),
@@ -572,10 +573,10 @@ def svm_multilabel(spark, folder):
 @query
 def svm_choice(spark, folder):
     """Choice from six TF-IDF blocks, the context and each of the five options: searched and seeded."""
-    prepared = choice_features(spark, folder, SVM_VOCABULARY_SIZES)
+    prepared = choice_features(spark, folder, svm.VOCABULARY_SIZES)
     return svm.search_and_rate(
         spark,
-        SVM_GRID,
+        svm.grid(),
         prepared.get,
         lambda rows, penalty: svm.fit_predict_multiclass(rows, "label", penalty),
         lambda predicted: svm.split_scores(predicted, "label"),
@@ -588,7 +589,7 @@ def svm_choice(spark, folder):
 @query
 def svm_choice_predictions(spark, folder):
     """Choice of every held-out row; the marks of the endings tell it, so it must be the gold one."""
-    prepared = choice_features(spark, folder, [MAX_FEATURES])[MAX_FEATURES]
+    prepared = choice_features(spark, folder, [svm.CHOICE_VOCABULARY])[svm.CHOICE_VOCABULARY]
     predicted = svm.fit_predict_multiclass(prepared, "label", 10.0)
     return predicted.where("split <> 'train'").select("doc_id", "split", "predicted")
 
