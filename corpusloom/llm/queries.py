@@ -8,13 +8,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.llm import (
+    bpe_automaton,
     chat,
     compression_quality,
+    conversation_trie,
     decontamination,
     jaccard_join,
     packing,
     quality_rules,
     sharding,
+    spelling,
     toxicity,
     url_filter,
     warc,
@@ -163,6 +166,45 @@ def op10_tokeniser_fertility(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op11_bpe_automaton(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document's ids and the text they decode to, as digests."""
+    ids = bpe_automaton.encode(table(spark, folder, "documents"), "text", keep=["doc_id"])
+    listed = F.array_join(F.col("out.ids").cast("array<string>"), ",")
+    told = ids.select(
+        "row.doc_id",
+        F.size("out.ids").cast("bigint").alias("n_tokens"),
+        F.sha2(listed.cast("binary"), 256).alias("ids_sha256"),
+        F.col("out.ids").alias("ids"),
+    )
+    decoded = bpe_automaton.decode(told, "ids", keep=["doc_id", "n_tokens", "ids_sha256"])
+    return decoded.select("row.*", F.sha2(F.col("out.text").cast("binary"), 256).alias("decoded_sha256"))
+
+
+def op12_centroid_trie(spark: SparkSession, folder: str) -> DataFrame:
+    """Every prefix of the rebuilt conversations, with members, children, leaves and saved characters."""
+    return conversation_trie.trie(table(spark, folder, "conversations"))
+
+
+def op13_kd_spelling(spark: SparkSession, folder: str) -> DataFrame:
+    """Every frequent word, its more frequent variant and where the variants lead."""
+    return spelling.group(table(spark, folder, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_best_fit_packing, op2_kneser_ney, op3_link_graph, op4_string_tiling, op5_compression, op6_jump_hash, op7_sharded_writer, op8_partenum, op9_chat_machine, op10_tokeniser_fertility)
+    f.__name__: f
+    for f in (
+        op1_best_fit_packing,
+        op2_kneser_ney,
+        op3_link_graph,
+        op4_string_tiling,
+        op5_compression,
+        op6_jump_hash,
+        op7_sharded_writer,
+        op8_partenum,
+        op9_chat_machine,
+        op10_tokeniser_fertility,
+        op11_bpe_automaton,
+        op12_centroid_trie,
+        op13_kd_spelling,
+    )
 }

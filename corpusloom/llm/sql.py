@@ -69,4 +69,93 @@ SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = first THEN 'r
   CASE WHEN page_id <> first THEN first END AS refers_to FROM f
 """
 
-ORACLE: dict[str, str] = {"op7_sharded_writer": OP7, "op8_partenum": OP8, "op9_chat_machine": OP9}
+#: The table of CRC-32, folded from its polynomial.
+_CRC_TABLE = """crc AS MATERIALIZED (SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)),
+  lambda c, x: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t)"""
+
+
+def _crc32(text: str) -> str:
+    """CRC-32 of a text's UTF-8 beside the table ``crc``."""
+    data = f"list_transform(range(CAST(strlen({text}) AS BIGINT)), lambda i: CAST('0x' || substr(hex({text}), 2 * i + 1, 2) AS BIGINT))"
+    step = "xor(c >> 8, t[CAST(xor(c, b) & 255 AS BIGINT) + 1])"
+    return f"xor(list_reduce(list_prepend(4294967295, {data}), lambda c, b: {step}), 4294967295)"
+
+
+OP12 = f"""
+WITH {_CRC_TABLE},
+turns AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), md5(coalesce(text, ''))) - 1 AS nth
+  FROM conversations WHERE conv_id IS NOT NULL),
+counts AS (
+  SELECT conv_id, count(*) AS own, conv_id - conv_id % 100 AS base FROM turns GROUP BY conv_id),
+convs AS MATERIALIZED (
+  SELECT c.conv_id, c.own, c.base, {_crc32("CAST(c.conv_id AS VARCHAR)")} % 6 AS h,
+    least({_crc32("CAST(c.conv_id AS VARCHAR)")} % 6, coalesce(b.own, 0)) AS k
+  FROM counts c LEFT JOIN counts b ON b.conv_id = c.base, crc),
+rebuilt AS (
+  SELECT c.conv_id, t.nth - c.h + c.k + 1 AS depth, t.role, t.text FROM convs c JOIN turns t USING (conv_id) WHERE t.nth >= c.h
+  UNION ALL
+  SELECT c.conv_id, t.nth + 1, t.role, t.text FROM convs c JOIN turns t ON t.conv_id = c.base WHERE t.nth < c.k),
+seats AS MATERIALIZED (
+  SELECT conv_id, depth, length(text) AS chars,
+    md5(string_agg(md5(role) || md5(text), '') OVER (PARTITION BY conv_id ORDER BY depth)) AS node FROM rebuilt
+  UNION ALL SELECT conv_id, 0, 0, '' FROM convs),
+paths AS MATERIALIZED (
+  SELECT *, lag(node) OVER (PARTITION BY conv_id ORDER BY depth) AS parent,
+    lead(node) OVER (PARTITION BY conv_id ORDER BY depth) IS NULL AS is_end FROM seats),
+nodes AS MATERIALIZED (
+  SELECT node, depth, any_value(parent) AS parent, min(conv_id) AS conv_id, count(*) AS n_convs,
+    (count(*) - 1) * any_value(chars) AS saved,
+    sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (WHERE is_end), '')) AS ends_sha256
+  FROM paths GROUP BY node, depth),
+families AS MATERIALIZED (
+  SELECT n.*, (SELECT count(*) FROM nodes c WHERE c.parent = n.node) AS n_children FROM nodes n),
+sums AS (
+  SELECT p.node, sum(f.saved) AS saved, count(*) FILTER (WHERE f.n_children = 0) AS leaves
+  FROM families f JOIN paths p ON p.conv_id = f.conv_id AND p.depth <= f.depth GROUP BY p.node)
+SELECT f.conv_id, CAST(f.depth AS BIGINT) AS depth, p.conv_id AS parent_conv_id, f.n_convs, f.n_children,
+  CAST(s.leaves AS BIGINT) AS n_leaves, CAST(s.saved AS BIGINT) AS saved_tokens, f.ends_sha256
+FROM families f JOIN sums s USING (node) LEFT JOIN nodes p ON p.node = f.parent
+"""
+
+OP13 = f"""
+WITH RECURSIVE {_CRC_TABLE},
+runs AS (
+  SELECT doc_id, unnest(regexp_extract_all({_LOWER}, '[A-Za-zÀ-ÿ]{{5,}}')) AS run FROM documents),
+hashed AS (
+  SELECT run, n, {_crc32("coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run")} AS h
+  FROM (SELECT doc_id, run, count(*) AS n FROM runs GROUP BY ALL), crc),
+typed AS (
+  SELECT n, CASE WHEN h % 97 = 0 THEN substr(run, 1, CAST(h % length(run) AS BIGINT))
+    || substr(run, CAST(h % length(run) AS BIGINT) + 2) ELSE run END AS word FROM hashed),
+words AS MATERIALIZED (
+  SELECT word, CAST(sum(n) AS BIGINT) AS n FROM typed WHERE length(word) >= 5 GROUP BY word HAVING sum(n) >= 3),
+holes AS MATERIALIZED (
+  SELECT DISTINCT word, substr(word, 1, i - 1) AS head, substr(word, i + 1) AS tail
+  FROM (SELECT word, unnest(range(1, length(word) + 1)) AS i FROM words)),
+shorter AS (SELECT DISTINCT h.word, w.word AS short FROM holes h JOIN words w ON w.word = h.head || h.tail),
+near AS MATERIALIZED (
+  SELECT a.word, b.word AS other FROM holes a JOIN holes b ON a.head = b.head AND a.tail = b.tail AND a.word <> b.word
+  UNION SELECT word, short FROM shorter UNION SELECT short, word FROM shorter),
+best AS (
+  SELECT r.word, r.other, w.n AS other_n, row_number() OVER (PARTITION BY r.word ORDER BY w.n DESC, r.other) AS place,
+    count(*) OVER (PARTITION BY r.word) AS n_near
+  FROM near r JOIN words w ON w.word = r.other),
+forms AS MATERIALIZED (
+  SELECT w.word, w.n, coalesce(b.n_near, 0) AS n_near, CASE WHEN b.other_n >= 2 * w.n THEN b.other END AS form,
+    CASE WHEN b.other_n >= 2 * w.n THEN b.other_n END AS form_n
+  FROM words w LEFT JOIN best b ON b.word = w.word AND b.place = 1),
+reach(word, root) AS (
+  SELECT word, word FROM forms UNION ALL SELECT r.word, f.form FROM reach r JOIN forms f ON f.word = r.root WHERE f.form IS NOT NULL)
+SELECT f.word, f.form, r.root, f.n, f.n_near, f.form_n
+FROM forms f JOIN reach r USING (word) JOIN forms l ON l.word = r.root AND l.form IS NULL
+"""
+
+ORACLE: dict[str, str] = {
+    "op7_sharded_writer": OP7,
+    "op8_partenum": OP8,
+    "op9_chat_machine": OP9,
+    "op12_centroid_trie": OP12,
+    "op13_kd_spelling": OP13,
+}
