@@ -20,6 +20,7 @@ from corpusloom.operators import (
     evaluation,
     hooks,
     leaderboard,
+    linear,
     losses,
     pooling,
     sampling,
@@ -512,7 +513,7 @@ def tfidf_weights(spark, folder):
 # --- linear baselines ----------------------------------------------------------
 
 #: Grid of the score table that ``svm_best_point`` shares with its SQL; the searches run over ``svm.grid()``.
-SVM_GRID = svm.grid(sizes=SVM_VOCABULARY_SIZES)
+SVM_GRID = svm.grid(sizes=SVM_VOCABULARY_SIZES, losses=svm.LOSSES[:1])
 
 
 def language_rows(spark: SparkSession, folder: str) -> DataFrame:
@@ -537,13 +538,13 @@ def choice_features(spark: SparkSession, folder: str, sizes: Iterable[int]) -> d
 @query
 def svm_multiclass_grid(spark, folder):
     """Language from text: the best point of the validation split, mean and deviation over the seeds."""
-    rows = language_rows(spark, folder)
+    rows = language_rows(spark, folder).withColumn("positives", F.array("label"))
     return svm.search_and_rate(
-        spark,
         svm.grid(),
         lambda size: cache.spool(svm.featurise(rows, "text", size, tfidf.MIN_DOCUMENTS)),
-        lambda prepared, penalty: svm.fit_predict_multiclass(prepared, "label", penalty),
-        lambda predicted: svm.split_scores(predicted, "label"),
+        "positives",
+        len(views.LANGUAGES),
+        False,
         "doc_id",
         SEEDS,
         SVM_TRAIN_SHARE,
@@ -552,18 +553,18 @@ def svm_multiclass_grid(spark, folder):
 
 @query
 def svm_multilabel(spark, folder):
-    """Quality and toxicity from text: one SVM per label, searched, seeded, scored with the zero class."""
+    """Quality and toxicity from text: one machine per label, searched, seeded, scored with the zero class."""
     rows = cache.spool(
         evaluation.align(
-            views.multilabel_gold(spark, folder), views.documents(spark, folder).select("doc_id", "text"), "doc_id"
+            views.multilabel_gold(spark, folder), views.documents(spark, folder).select("doc_id", "text"), "doc_id", True
         ).withColumn("split", views.split_column())
     )
     return svm.search_and_rate(
-        spark,
         svm.grid(),
         lambda size: cache.spool(svm.featurise(rows, "text", size, tfidf.MIN_DOCUMENTS)),
-        lambda prepared, penalty: svm.fit_predict_multilabel(prepared, "labels", LABELS, penalty),
-        lambda predicted: svm.split_scores(predicted, "labels", multilabel=LABELS),
+        "labels",
+        LABELS,
+        True,
         "doc_id",
         SEEDS,
         SVM_TRAIN_SHARE,
@@ -572,14 +573,15 @@ def svm_multilabel(spark, folder):
 
 @query
 def svm_choice(spark, folder):
-    """Choice from six TF-IDF blocks, the context and each of the five options: searched and seeded."""
-    prepared = choice_features(spark, folder, svm.VOCABULARY_SIZES)
+    """Choice from six TF-IDF blocks, the context and each of the five options: penalty and loss searched, seeded."""
+    prepared = choice_features(spark, folder, [svm.CHOICE_VOCABULARY])[svm.CHOICE_VOCABULARY]
+    prepared = prepared.withColumn("positives", F.array("label"))
     return svm.search_and_rate(
-        spark,
-        svm.grid(),
-        prepared.get,
-        lambda rows, penalty: svm.fit_predict_multiclass(rows, "label", penalty),
-        lambda predicted: svm.split_scores(predicted, "label"),
+        svm.grid(sizes=(svm.CHOICE_VOCABULARY,)),
+        lambda size: prepared,
+        "positives",
+        views.N_ENDINGS,
+        False,
         "doc_id",
         SEEDS,
         SVM_TRAIN_SHARE,
@@ -588,10 +590,19 @@ def svm_choice(spark, folder):
 
 @query
 def svm_choice_predictions(spark, folder):
-    """Choice of every held-out row; the marks of the endings tell it, so it must be the gold one."""
+    """Choice of every held-out row, by a stored model and a prediction file; the marks of the endings tell it."""
     prepared = choice_features(spark, folder, [svm.CHOICE_VOCABULARY])[svm.CHOICE_VOCABULARY]
-    predicted = svm.fit_predict_multiclass(prepared, "label", 10.0)
-    return predicted.where("split <> 'train'").select("doc_id", "split", "predicted")
+    prepared = prepared.withColumn("positives", F.array("label"))
+    train = prepared.where("split = 'train'")
+    model, lines = fresh(spark, "model"), fresh(spark, "predictions.tsv")
+    linear.store(spark, linear.fit(train, "positives", views.N_ENDINGS, [linear.Setting(10.0)]), model)
+    held_out = prepared.where("split <> 'train'").select("doc_id", "features")
+    scored = linear.score(held_out, linear.load(spark, model)).withColumn("scores", F.get("all_scores", 0))
+    writers.write_lines(evaluation.prediction_lines(scored, "doc_id", "scores"), "line", lines)
+    cells = F.split("value", "\t")
+    scores = F.slice(cells, 2, views.N_ENDINGS).cast("array<double>")
+    read = readers.read_lines(spark, lines).select(F.get(cells, 0).cast("bigint").alias("doc_id"), scores.alias("scores"))
+    return read.select("doc_id", views.split_column().alias("split"), L.argmax(F.col("scores")).alias("predicted"))
 
 
 @query

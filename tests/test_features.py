@@ -133,27 +133,20 @@ def topics(spark):
 
 
 def test_multiclass_baseline_learns_separable_topics(spark, topics):
-    from corpusloom.operators import evaluation
-
-    points = svm.grid(sizes=(20, 30), penalties=(1.0,))
-    scores = svm.grid_search(
-        spark,
-        points,
-        lambda size: svm.featurise(topics, "text", size, 5),
-        lambda rows, c: svm.fit_predict_multiclass(rows, "label", c, 10),
-        lambda rows: evaluation.accuracy(rows, "label", "predicted"),
-    )
+    points = svm.grid(sizes=(20, 30), penalties=(1.0,), losses=(svm.HINGE,))
+    rows = topics.withColumn("positives", F.array("label"))
+    scores = svm.grid_search(points, lambda size: svm.featurise(rows, "text", size, 5), "positives", 3, False)
     assert [r["grid_index"] for r in scores.orderBy("grid_index").collect()] == [0, 1]
     best = svm.best_point(scores).first()
     assert best["grid_index"] == 0 and best["score"] == 1.0
-    predicted = svm.fit_predict_multiclass(svm.featurise(topics, "text", 30, 5), "label", 1.0, 10)
+    predicted = svm.fit_predict_multiclass(svm.featurise(topics, "text", 30, 5), "label", 1.0)
     by_split = {r["split"]: r["micro_f1"] for r in svm.split_scores(predicted, "label").collect()}
     assert by_split == {"validation": 1.0, "test": 1.0}
 
 
 def test_multilabel_baseline_handles_constant_labels(topics):
     # label 0 and label 3 never occur
-    rows = svm.fit_predict_multilabel(svm.featurise(topics, "text", 30, 5), "labels", 4, 1.0, 10)
+    rows = svm.fit_predict_multilabel(svm.featurise(topics, "text", 30, 5), "labels", 4, 1.0)
     held_out = rows.where("split = 'test'").collect()
     assert all(r["predicted"] == r["labels"] for r in held_out)
     assert all([s > 0 for s in r["scores"]] == [i in r["labels"] for i in range(4)] for r in held_out)
@@ -173,23 +166,26 @@ def test_choice_blocks_sit_side_by_side(spark):
     wide = svm.choice_columns(df, n=3)
     columns = ["context", "option_1", "option_2", "option_3"]
     features = svm.featurise_choices(wide, columns, 50, 5)
-    predicted = svm.fit_predict_multiclass(features, "label", 1.0, 20).where("split = 'test'").collect()
+    predicted = svm.fit_predict_multiclass(features, "label", 1.0).where("split = 'test'").collect()
     assert all(r["predicted"] == r["label"] for r in predicted)
 
 
 def test_search_and_seeds_of_a_multilabel_task(spark, topics):
     got = svm.search_and_rate(
-        spark,
         svm.grid(sizes=(30,), penalties=(1.0, 10.0)),
         lambda size: cache.spool(svm.featurise(topics, "text", size, 5)),
-        lambda rows, c: svm.fit_predict_multilabel(rows, "labels", 4, c, 10),
-        lambda rows: svm.split_scores(rows, "labels", multilabel=4),
+        "labels",
+        4,
+        True,
         "doc_id",
         (1, 2),
+        0.9,
     )
     rows = got.collect()
-    assert sorted(r["split"] for r in rows) == ["test", "validation"]
-    assert all((r["max_features"], r["penalty"], r["n_seeds"], r["micro_f1_std"]) == (30, 1.0, 2, 0.0) for r in rows)
+    assert sorted((r["split"], r["sample"], r["n_seeds"]) for r in rows) == [
+        ("test", "all", 1), ("test", "drawn", 2), ("validation", "all", 1), ("validation", "drawn", 2),
+    ]
+    assert all((r["max_features"], r["penalty"], r["loss"], r["micro_f1_std"]) == (30, 1.0, "hinge", 0.0) for r in rows)
 
 
 def test_encoding_refuses_a_vocabulary_without_bound(spark, monkeypatch):
