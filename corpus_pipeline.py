@@ -36,10 +36,20 @@ def keep_civil(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document with the smallest id; ids that are null stay."""
+    """Of each group of near copies one row, of the document with the smallest id.
+
+    Rows that repeat an id are one group, whatever their texts; the least of them by its
+    columns in order stays. Rows whose id is null stay.
+    """
     linked = jaccard_join.join(docs, "doc_id", "text")
     gone = linked.where("component_id <> doc_id").select("doc_id").distinct()
-    return docs.join(F.broadcast(gone) if fits_broadcast(gone) else gone, "doc_id", "left_anti").select(docs.columns)
+    kept = docs.join(F.broadcast(gone) if fits_broadcast(gone) else gone, "doc_id", "left_anti").select(docs.columns)
+    again = docs.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id")
+    if again.isEmpty():
+        return kept
+    least = F.min(F.struct(*docs.columns)).alias("row")
+    firsts = kept.join(again, "doc_id", "left_semi").groupBy("doc_id").agg(least).select("row.*")
+    return kept.join(again, "doc_id", "left_anti").select(docs.columns).unionByName(firsts)
 
 
 def keep_clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
