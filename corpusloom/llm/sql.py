@@ -81,6 +81,21 @@ def _crc32(text: str) -> str:
     return f"xor(list_reduce(list_prepend(4294967295, {data}), lambda c, b: {step}), 4294967295)"
 
 
+OP6 = f"""
+WITH RECURSIVE {_CRC_TABLE},
+walk(doc_id, n, state, shard, jump) AS (
+  SELECT doc_id, n, CAST(doc_id AS HUGEINT), CAST(-1 AS BIGINT), CAST(0 AS BIGINT) FROM documents, (VALUES (8), (9)) v(n)
+  UNION ALL
+  SELECT doc_id, n, next, jump, CAST(floor((jump + 1) * (CAST(2147483648 AS DOUBLE) / CAST(next // 8589934592 + 1 AS DOUBLE))) AS BIGINT)
+  FROM (SELECT *, (state * 2862933555777941757 + 1) % 18446744073709551616 AS next FROM walk WHERE jump < n)),
+shards AS (
+  SELECT doc_id, CAST(max(shard) FILTER (WHERE n = 8) AS INTEGER) AS shard, CAST(max(shard) FILTER (WHERE n = 9) AS INTEGER) AS grown_shard
+  FROM walk WHERE jump >= n GROUP BY doc_id)
+SELECT doc_id, CAST(strlen(coalesce(text, '')) + 1 AS BIGINT) AS size, CAST({_crc32("coalesce(text, '')")} AS BIGINT) AS text_crc32,
+  'key' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY doc_id) - 1 AS slot, grown_shard
+FROM documents JOIN shards USING (doc_id), crc
+"""
+
 OP12 = f"""
 WITH {_CRC_TABLE},
 turns AS (
@@ -153,6 +168,7 @@ FROM forms f JOIN reach r USING (word) JOIN forms l ON l.word = r.root AND l.for
 """
 
 ORACLE: dict[str, str] = {
+    "op6_jump_hash": OP6,
     "op7_sharded_writer": OP7,
     "op8_partenum": OP8,
     "op9_chat_machine": OP9,
