@@ -1,8 +1,8 @@
 """Deterministic sharded WARC writer and its reader.
 
-Records are range-sorted by key and cut into shards by the sizes of their payloads, so
-the files depend on the rows alone and not on the cluster's layout. A task writes
-whole shards, one gzip member per record, and rolls to a new file when one reaches a
+Records are range-sorted by key and cut into shards by a running total of their bytes,
+so the files depend on the rows alone and not on the cluster's layout. A task writes
+one shard, one gzip member per record, and rolls to a new file when one reaches a
 compressed size. Headers, digests and record ids are made anew. Of equal payloads the
 record with the smallest key is a response, the others revisit it.
 
@@ -27,7 +27,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyarrow import fs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpusloom.llm.ship import ship
@@ -35,11 +35,13 @@ from corpusloom.llm.texts import column
 from corpusloom.operators.lookups import lookup_join
 from corpusloom.sources.cache import spool
 
-#: Payload bytes of a shard, and compressed bytes from which a file is rolled.
+#: Uncompressed bytes of a shard, and compressed bytes from which a file is rolled.
 SHARD_BYTES = 64 * 1024 * 1024
 FILE_BYTES = 32 * 1024 * 1024
-#: Keys looked at per shard to place the cuts.
-CUT_SAMPLE = 64
+#: Bytes of a record's headers, next to its payload and url.
+HEADER_BYTES = 600
+#: Rows of a range over which the running total of bytes is taken in one go.
+RANGE_ROWS = 500_000
 LEVEL = 6
 #: The date of every record: made anew, so it is the caller's, not the clock's.
 DATE = "2024-01-01T00:00:00Z"
@@ -141,22 +143,60 @@ class _Files:
         self.part += 1
 
 
-def _cuts(keyed: DataFrame, shard_bytes: int) -> list[int]:
-    """Smallest keys of all shards but the first, the same for the same rows.
+def _cuts(sized: DataFrame, shard_bytes: int) -> DataFrame:
+    """(key, tie, low, high): where shards begin, and the shards of rows too many for one.
 
-    Keys whose hash falls under a share of all, ``CUT_SAMPLE`` per shard, are the candidates;
-    bytes between them are summed by Spark, and the driver sees that bounded list alone.
+    ``sized`` has (key, tie, size); rows are in the order of (key, tie), null keys first. A
+    shard is the running total of bytes before a row over ``shard_bytes``. Rows that
+    agree in key and tie, and together hold more than a shard, are dealt over the shards
+    ``low`` to ``high``. The total is taken per range of the order, and ranges are added up.
     """
-    n, total = keyed.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
-    shards = max(1, -(-int(total) // shard_bytes))
-    if shards == 1:
-        return []
-    share = max(1, n // (shards * CUT_SAMPLE))
-    some = keyed.where((F.pmod(F.xxhash64("key"), F.lit(share)) == 0) & F.col("key").isNotNull())
-    rows = sorted(r["key"] for r in some.select("key").distinct().toLocalIterator())
-    # equal numbers of candidates stand for equal shares of the rows
-    step = max(1, len(rows) / shards)
-    return sorted({rows[int(i * step)] for i in range(1, shards) if int(i * step) < len(rows)})
+    groups = sized.groupBy("key", "tie").agg(F.sum("size").alias("size"), F.count("*").alias("copies"))
+    ranges = max(1, -(-sized.count() // RANGE_ROWS))
+    groups = spool(
+        groups.repartitionByRange(ranges, F.asc_nulls_first("key"), "tie").withColumn("range", F.spark_partition_id())
+    )
+    # one row per range
+    before = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = groups.groupBy("range").agg(F.sum("size").alias("bytes"))
+    starts = starts.select("range", F.coalesce(F.sum("bytes").over(before), F.lit(0)).alias("start"))
+    inside = Window.partitionBy("range").orderBy(F.asc_nulls_first("key"), "tie").rowsBetween(Window.unboundedPreceding, 0)
+    end = F.col("start") + F.sum("size").over(inside)
+    placed = groups.join(F.broadcast(starts), "range").withColumn("end", end)
+    shard = lambda at: F.floor(at / F.lit(shard_bytes))
+    low = F.greatest(shard(F.col("end") - F.col("size")), F.lit(0))
+    high = F.when((F.col("copies") > 1) & (F.col("size") > shard_bytes), shard(F.col("end") - 1)).otherwise(low)
+    placed = placed.select("key", "tie", low.alias("low"), high.alias("high"))
+    # structs order null keys first, as the sort does
+    first = placed.groupBy("low").agg(F.min(F.struct("key", "tie", "low", "high")).alias("cut")).select("cut.*")
+    return first.unionByName(placed.where("high > low")).distinct()
+
+
+class _Shards:
+    """Finds the shard of a row from the cuts: about one row of four numbers per shard."""
+
+    def __init__(self, cuts: list[tuple]) -> None:
+        cuts = sorted(cuts, key=lambda c: (c[0] is not None, c[0] or 0, c[1]))
+        self.nulls = sum(c[0] is None for c in cuts)
+        self.keys = np.array([c[0] or 0 for c in cuts], np.int64)
+        self.ties, self.low, self.high = (np.array([c[i] for c in cuts], np.int64) for i in (1, 2, 3))
+
+    def of(self, key: int | None, tie: int, row: int) -> int:
+        if key is None:
+            first, last = 0, self.nulls
+        else:
+            known = self.keys[self.nulls :]
+            first = self.nulls + int(np.searchsorted(known, key, "left"))
+            last = self.nulls + int(np.searchsorted(known, key, "right"))
+        at = first + int(np.searchsorted(self.ties[first:last], tie, "right")) - 1
+        if at < 0:
+            return 0
+        low, high = int(self.low[at]), int(self.high[at])
+        if low == high:
+            return low
+        same = at >= first and self.ties[at] == tie
+        # rows behind a group of several shards go on with its last
+        return low + row % (high - low + 1) if same else high
 
 
 def write(
@@ -174,30 +214,37 @@ def write(
     A null or empty payload is one of no bytes, a null url an empty target. Rows with a
     null key come first; of equal payloads with null keys alone all are responses, as
     are repeated rows of the smallest key. An empty table makes an empty manifest.
-    Keys are whole numbers; other columns are not read.
+    Keys are whole numbers; other columns are not read. Rows of one key are in the order of
+    a hash of payload and url. Only where rows that agree in all three fill more than a shard
+    does their place in the table decide which of its shards one is in. The cuts, a row per shard, are
+    sent to the tasks: 32 bytes for every ``shard_bytes`` of records.
     """
     spark = pages.sparkSession
     ship(spark)
     payload = F.coalesce(column(html), F.lit("")).cast("binary")
     source = pages.select(column(key).cast("bigint").alias("key"), column(url).alias("url"), payload.alias("payload"))
-    slim = spool(source.select("key", F.sha1("payload").alias("sha"), F.octet_length("payload").alias("size")))
+    sha = F.sha1("payload")
+    source = source.withColumn("sha", sha).withColumn("tie", F.xxhash64("sha", "url"))
+    size = F.octet_length("payload") + F.coalesce(F.octet_length("url"), F.lit(0)) + HEADER_BYTES
+    slim = spool(source.select("key", "sha", "tie", size.cast("bigint").alias("size")))
     firsts = slim.groupBy("sha").agg(F.min("key").alias("first"), F.count("*").alias("copies"))
     # only payloads that occur again need a look-up
     again = spool(firsts.where("copies > 1").select("sha", "first"))
-    cuts = _cuts(slim, shard_bytes)
-    rows = lookup_join(source.withColumn("sha", F.sha1("payload")), again, "sha", "left", ["key"])
+    cuts = [tuple(r) for r in _cuts(slim, shard_bytes).collect()]
+    n = max((c[3] for c in cuts), default=0) + 1
+    shards = _Shards(cuts)
+    # numbered at the scan, so a task that is run again deals its rows alike
+    rows = lookup_join(source.withColumn("number", F.monotonically_increasing_id()), again, "sha", "left", ["key"])
 
     @F.pandas_udf("int")
-    def shard_of(keys: pd.Series) -> pd.Series:
-        # a null key sorts before all others
-        known = keys.notna().to_numpy()
-        found = np.zeros(len(keys), np.int32)
-        found[known] = np.searchsorted(np.array(cuts, np.int64), keys[known].to_numpy(np.int64), "right")
-        return pd.Series(found)
-
-    n = len(cuts) + 1
-    dealt = rows.withColumn("shard", shard_of("key")).repartition(n, "shard")
-    dealt = dealt.sortWithinPartitions("shard", "key", "sha", "url")
+    def shard_of(keys: pd.Series, ties: pd.Series, numbers: pd.Series) -> pd.Series:
+        keys = [None if k is None else int(k) for k in keys]
+        found = [shards.of(*row) for row in zip(keys, ties.to_numpy(), numbers.to_numpy(), strict=True)]
+        return pd.Series(found, dtype="int32")
+
+    # a string, for a null among whole numbers would make them inexact
+    dealt = rows.withColumn("shard", shard_of(F.col("key").cast("string"), "tie", "number"))
+    dealt = dealt.repartitionById(n, "shard").sortWithinPartitions(F.asc_nulls_first("key"), "tie", "sha", "url")
 
     def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         files = _Files(folder, file_bytes)
