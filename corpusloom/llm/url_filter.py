@@ -1,10 +1,11 @@
 """URL filter: host and path rules, and propagation over the graph of hosts for the rest.
 
 Rules decide the urls they fit, the longest rule first. For the others a host's links
-count: trust starts from hosts with allowed pages and flows along links (personalised
+count: trust starts from hosts with allowed pages alone and flows along links (personalised
 PageRank); distrust starts from hosts with blocked pages and flows against them, to
-those who link there. A host is blocked when distrust is at least ``threshold`` of
-both together.
+those who link there. A host is blocked when its distrust exceeds its trust and is at
+least ``threshold`` of what a host of blocked pages alone starts with. Both are iterated
+until no host is further than ``TOLERANCE`` from the limit.
 
 Urls are judged as rows, rules are joined per distinct host, the graph is one row per
 pair of hosts, and every round of the propagation is a stored table, so a lost
@@ -13,6 +14,7 @@ executor costs one round.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame
@@ -24,10 +26,9 @@ from corpusloom.sources.cache import spool
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 DAMPING = 0.85
-#: Trust of a page that no rule judges, next to 1 for an allowed one.
-PRIOR = 0.25
-THRESHOLD = 0.5
-MAX_ROUNDS = 30
+#: Share of a wholly blocked host's own start from which distrust counts.
+THRESHOLD = 0.2
+#: Most that a rank may be off from its limit.
 TOLERANCE = 1e-6
 #: Absolute or scheme-relative targets of links.
 LINK = r"""(?i)href\s*=\s*["']?((?:https?:)?//[^"'\s>]+)"""
@@ -75,28 +76,41 @@ def _rules_by_host(hosts: DataFrame, rules: DataFrame) -> DataFrame:
 
 
 def _propagate(edges: DataFrame, seeds: DataFrame, source: str, target: str) -> DataFrame:
-    """(host, rank): personalised PageRank along ``source`` -> ``target`` from ``seeds`` (host, seed)."""
-    out = edges.groupBy(source).agg(F.count("*").alias("_out"))
-    weighted = spool(edges.join(out, source).select(F.col(source).alias("from"), F.col(target).alias("to"), (DAMPING / F.col("_out")).alias("share")))
+    """(host, rank): personalised PageRank along ``source`` -> ``target`` from ``seeds`` (host, seed).
+
+    A round moves all ranks together by at most ``DAMPING`` of what the round before moved
+    them, so what is left to move is known from the last move, and the rounds are bounded
+    by the logarithm of the seeds.
+    """
+    links = edges.select(F.col(source).alias("from"), F.col(target).alias("to"))
+    out = links.groupBy("from").agg(F.count("*").alias("n"))
+    # a host of very many links is spread by their ends
+    shares = spool(lookup_join(links, out, "from", "inner", ["to"]).select("from", "to", (DAMPING / F.col("n")).alias("share")))
     base = seeds.select("host", ((1 - DAMPING) * F.col("seed")).alias("base"))
-    ranks = spool(base.select("host", F.col("base").alias("rank")))
-    if weighted.isEmpty():
-        return ranks
-    for _ in range(MAX_ROUNDS):
-        flow = weighted.join(ranks, weighted["from"] == ranks["host"]).groupBy(F.col("to").alias("host"))
-        flow = flow.agg(F.sum(F.col("share") * F.col("rank")).alias("flow"))
-        new = base.join(flow, "host", "full").select(
-            "host", (F.coalesce("base", F.lit(0.0)) + F.coalesce("flow", F.lit(0.0))).alias("rank")
+    if shares.isEmpty():
+        return base.select("host", F.col("base").alias("rank"))
+    hosts = base.select("host").unionByName(shares.select(F.col("to").alias("host"))).distinct()
+    ranks = spool(hosts.join(base, "host", "left").select("host", F.coalesce("base", F.lit(0.0)).alias("base")))
+    total = ranks.agg(F.sum("base")).first()[0]
+    ranks = ranks.select("host", "base", F.col("base").alias("rank"))
+    left = DAMPING / (1 - DAMPING)
+    # the first move is at most DAMPING times all ranks
+    rounds = max(0, math.ceil(math.log(max(total, 1e-300) * left / TOLERANCE, 1 / DAMPING))) + 1
+    for _ in range(rounds):
+        given = ranks.where("rank > 0").select(F.col("host").alias("from"), "rank")
+        flow = lookup_join(shares, given, "from", "inner", ["to"])
+        flow = flow.groupBy(F.col("to").alias("host")).agg(F.sum(F.col("share") * F.col("rank")).alias("flow"))
+        new = F.col("base") + F.coalesce("flow", F.lit(0.0))
+        ranks = spool(
+            ranks.join(flow, "host", "left").select(
+                "host", "base", new.alias("rank"), F.abs(new - F.col("rank")).alias("moved")
+            )
         )
-        new = spool(new)
-        change = new.alias("n").join(ranks.alias("o"), "host", "full").agg(
-            F.max(F.abs(F.coalesce("n.rank", F.lit(0.0)) - F.coalesce("o.rank", F.lit(0.0))))
-        )
-        moved = change.first()[0]
-        ranks = new
-        if moved is None or moved < TOLERANCE:
-            break
-    return ranks
+        moved = ranks.agg(F.sum("moved")).first()[0]
+        ranks = ranks.drop("moved")
+        if moved * left <= TOLERANCE:
+            return ranks.select("host", "rank")
+    raise RuntimeError(f"ranks still move by {moved} after {rounds} rounds")
 
 
 def host_edges(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
@@ -116,15 +130,14 @@ def judge(
     url: str = "url",
     html: str = "html",
     threshold: float = THRESHOLD,
-    prior: float = PRIOR,
 ) -> DataFrame:
     """(key, host, path, rule, verdict, trust, distrust) of every row.
 
     A null url, or one without ``://``, has empty host and path; no rule fits it and,
     as no link names it, it is allowed. Null html has no links. A host's start is the
-    share of its pages that rules allow, or block; a page no rule judges counts
-    ``prior`` for trust. Repeated rows are judged alike; of rules equally long the first by
-    name wins. An empty table gives an empty one; other columns are not read.
+    share of its pages that rules allow, or block; with neither it has no start. Repeated
+    rows are judged alike; of rules equally long the first by name wins. An empty table
+    gives an empty one; other columns are not read.
     """
     parsed = pages.select(column(key).alias(key), host_of(column(url)).alias("host"), path_of(column(url)).alias("path"))
     hosts = parsed.where("host <> ''").select("host").distinct()
@@ -136,7 +149,7 @@ def judge(
     )
     share = lambda which: F.avg(F.when(which, 1.0).otherwise(0.0))
     starts = ruled.where("host <> ''").groupBy("host").agg(
-        (share(F.col("rule_verdict") == "allow") + prior * share(F.col("rule").isNull())).alias("trust"),
+        share(F.col("rule_verdict") == "allow").alias("trust"),
         share(F.col("rule_verdict") == "block").alias("distrust"),
     )
     starts = spool(starts)
@@ -145,7 +158,7 @@ def judge(
     distrust = _propagate(edges, starts.select("host", F.col("distrust").alias("seed")), "target", "source")
     ranks = trust.withColumnRenamed("rank", "trust").join(distrust.withColumnRenamed("rank", "distrust"), "host", "full")
     ranks = spool(ranks.select("host", *[F.coalesce(c, F.lit(0.0)).alias(c) for c in ("trust", "distrust")]))
-    bad = (F.col("distrust") > 0) & (F.col("distrust") >= threshold * (F.col("trust") + F.col("distrust")))
+    bad = (F.col("distrust") > F.col("trust")) & (F.col("distrust") >= threshold * (1 - DAMPING))
     final = lookup_join(ruled, ranks.withColumn("_bad", bad), "host", "left", ["path"])
     verdict = F.coalesce(F.col("rule_verdict"), F.when(F.col("_bad"), "block").otherwise("allow"))
     return final.select(key, "host", "path", "rule", verdict.alias("verdict"), "trust", "distrust")
