@@ -15,7 +15,8 @@ The bound is exact: no link is lost, whatever the hash does, and every candidate
 verified by its whole set. Candidates come from two rounds. In the first each set
 meets only the least and the next set of a signature's group; verified links make
 components. In the second only groups that still hold several components are compared,
-across components, and a pair is verified only if two bounds allow it: an upper bound of
+across components. A group beyond ``SPLIT`` sets is dealt into blocks before the shuffle and
+every two blocks are a group of their own, so no task holds or compares more; and a pair is verified only if two bounds allow it: an upper bound of
 its overlap from hashed counts, and the number of signatures it must share at least
 (with k and l signatures, all but d of the fewer). So a group of thousands of near
 copies costs a star, and a phrase that many texts share costs little output.
@@ -48,6 +49,8 @@ BINS = 512
 EARLY = 0.125
 #: Groups are compared in blocks of so many sets.
 BLOCK = 512
+#: Sets of a block of a group; a task holds at most two blocks of one group.
+SPLIT = 4096
 #: Pairs a task adds up before it passes them on.
 HELD = 500_000
 
@@ -285,8 +288,29 @@ def _plausible(threshold: tuple[int, int]):
     return run
 
 
+def _cells(seats: DataFrame, split: int = SPLIT) -> DataFrame:
+    """(cell, id, comp, side): the seats (sig, id, comp) of every two blocks of a group.
+
+    A group of up to ``split`` seats is one cell of side 2. A larger one is dealt into
+    blocks by a hash of the id; a cell holds one block, of side 2, or two, of sides 0
+    and 1, so each pair of a group meets in exactly one cell.
+    """
+    large = spool(
+        seats.groupBy("sig").agg(F.count("*").alias("n")).where(F.col("n") > split)
+        .select("sig", F.ceil(F.col("n") / F.lit(split)).cast("int").alias("blocks"))
+    )
+    seats = lookup_join(seats, large, "sig", "left", ["id"])
+    whole = seats.where("blocks IS NULL").select(F.col("sig").alias("cell"), "id", "comp", F.lit(2).alias("side"))
+    own = F.pmod(F.xxhash64("id", F.lit(7)), F.col("blocks").cast("bigint")).cast("int")
+    dealt = seats.where("blocks IS NOT NULL").withColumn("own", own)
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    side = F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1)
+    cell = F.xxhash64("sig", F.least("own", "other"), F.greatest("own", "other"))
+    return whole.unionByName(dealt.select(cell.alias("cell"), "id", "comp", side.alias("side")))
+
+
 def _across(threshold: tuple[int, int]):
-    """Pairs across components in the group of a signature whose overlap can still suffice."""
+    """Pairs across components in a cell of a signature's group whose overlap can still suffice."""
     low, high = threshold
 
     def counted(held: list[np.ndarray]) -> pa.RecordBatch:
@@ -298,7 +322,7 @@ def _across(threshold: tuple[int, int]):
         held: list[np.ndarray] = []
         waiting = 0
         for table in _runs(batches):
-            sig, ident, comp, n = (table.column(c).to_numpy() for c in ("sig", "id", "comp", "n"))
+            sig, ident, comp, n, side = (table.column(c).to_numpy() for c in ("cell", "id", "comp", "n", "side"))
             bins = _bin_rows(table.column("bins"))
             starts = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]]))
             ends = np.append(starts[1:], len(sig))
@@ -316,6 +340,8 @@ def _across(threshold: tuple[int, int]):
                             n[one][:, None] * high >= low * n[two][None, :]
                         )
                         ok &= n[two][None, :] * high >= low * n[one][:, None]
+                        # of two blocks only pairs across them
+                        ok &= (side[one][:, None] == 2) | (side[one][:, None] != side[two][None, :])
                         if i == j:
                             ok &= np.triu(np.ones(ok.shape, bool), 1)
                         x, y = np.nonzero(ok)
@@ -399,6 +425,7 @@ def join(
     text: str = "text",
     width: int = WORDS,
     threshold: tuple[int, int] = THRESHOLD,
+    split: int = SPLIT,
 ) -> DataFrame:
     """(key, n_shingles, component_id) of every row: set size and the least key reachable by links.
 
@@ -456,8 +483,9 @@ def join(
     seats = seats.join(early, "id", "left").select("sig", "id", F.coalesce("component", "id").alias("comp"))
     seats = spool(seats)
     mixed = seats.groupBy("sig").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("sig")
-    seats = seats.join(mixed, "sig").join(sketch, "id").select("sig", "id", "comp", "n", "bins")
-    across = seats.repartition(n_parts, "sig").sortWithinPartitions("sig")
+    cells = _cells(spool(seats.join(mixed, "sig").select("sig", "id", "comp")), split)
+    cells = cells.join(sketch, "id").select("cell", "id", "comp", "n", "bins", "side")
+    across = cells.repartition(n_parts, "cell").sortWithinPartitions("cell")
     across = across.mapInArrow(_across(threshold), "a bigint, b bigint, shared bigint")
     across = across.groupBy("a", "b").agg(F.sum("shared").alias("shared"))
     for side in ("a", "b"):
