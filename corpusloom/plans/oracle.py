@@ -454,4 +454,31 @@ ORACLE = {
     ),
     "io_feature_cache":
         f"select doc_id, cast(len(regexp_extract_all(text, '{WORD_PATTERN}')) as int) n_words from documents",
+    "io_content_cache":
+        f"select 'words' as state, doc_id, cast(len(regexp_extract_all(text, '{WORD_PATTERN}')) as int) n_words from documents",
+    "io_guarded_output":
+        f"select doc_id, cast(len(regexp_extract_all(text, '{WORD_PATTERN}')) as int) n_words, true as refused from documents",
+    "io_keyed_lines": with_views("select 'doc' || doc_id as key, cast(line_no as int) as line_no,"
+        " cast(length(text) as int) as n_chars from v_sentences ",
+    ),
+    "io_annotation_sets": with_views("""select 'item' || item_id as key, cast(line_no as int) as line_no, text,
+          coalesce((select string_agg(label_name, '|' order by label_type) from v_label_names
+            where (item_id*5+line_no*3+label_type)%11=0), '') as labels
+        from (select item_id, unnest(range(len(w))) as line_no, unnest(w) as text
+          from (select item_id, string_split(regexp_replace(text, '[\\r\\n]', ' ', 'g'), ' ') w from benchmark))""",
+    ),
+    "io_run_ledger": with_views("""select cast(g.task as varchar) as task, cast(g.model as varchar) as model, g.seed,
+          case when r.model is null or (g.model+g.task+g.seed)%9=2 then 'absent'
+            when (g.model+g.task+g.seed)%9=0 then 'cut off'
+            when r.eval_macro_f1 is null then 'field missing'
+            when (g.model+g.task+g.seed)%9=1 then 'wrong type' else 'counts' end as reason
+        from v_grid g left join v_all_runs r on r.model=g.model and r.task=g.task and r.seed=g.seed""",
+    ),
+    "io_headed_lines": with_views("""select md5(value) as line_md5, regexp_full_match(value, '(?s)\\p{Nd}.*\\p{Nd}') as well_formed
+        from (select regexp_replace(value, '[\\r\\n]', ' ', 'g') as value from v_raw_lines )""",
+    ),
+    "io_drifted_json": f"""select doc_id, case when split<>'train' then cast(length(text) as int) else -1 end as size,
+          case when split<>'train' then lang end as lang, case when split='train' then lang end as language,
+          cast(n_chars as varchar) as n_chars_text
+        from (select *, {SPLIT} as split from documents)""",
 }

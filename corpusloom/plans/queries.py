@@ -55,7 +55,7 @@ from corpusloom.plans.parameters import (
     YEAR_SPLITS,
 )
 from corpusloom.session import tune
-from corpusloom.sinks import writers
+from corpusloom.sinks import keyed_files, staging, writers
 from corpusloom.sources import cache, readers
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -900,3 +900,122 @@ def io_feature_cache(spark, folder):
     cache.materialize(built, key)
     # had this call built, it would return no row
     return cache.materialize(built.limit(0), key)
+
+
+def file_name(id_column: str, n_rows: int, rows_per_file: int = 500) -> Column:
+    """Name of the file a row goes to, of as many as give each about ``rows_per_file``."""
+    return F.concat(F.lit("part"), F.pmod(F.xxhash64(id_column), F.lit(n_rows // rows_per_file + 1)))
+
+
+@query
+def io_content_cache(spark, folder):
+    """Words per document, kept by the content of its files: those replaced under the same name are read anew."""
+    docs = views.table(spark, folder, "documents")
+    path = fresh(spark, "texts")
+    files = docs.select(
+        file_name("doc_id", docs.count()).alias("key"),
+        F.concat_ws(" ", F.lit("words"), F.col("doc_id"), T.word_count(F.col("text"))).alias("text"),
+        "doc_id",
+    )
+    # had the second call not built, its first words would be these
+    for first in ("stale", "words"):
+        lines = files.withColumn("text", F.regexp_replace("text", "^words", first))
+        keyed_files.write_keyed_files(lines, path, order="doc_id", overwrite=True)
+        words = F.split("value", " ")
+        parsed = readers.read_lines(spark, f"{path}/*.txt").select(
+            F.get(words, 0).alias("state"),
+            F.get(words, 1).cast("bigint").alias("doc_id"),
+            F.get(words, 2).cast("int").alias("n_words"),
+        )
+        built = cache.kept(parsed, feature="words")
+    return built
+
+
+@query
+def io_guarded_output(spark, folder):
+    """A published result and an attempt to write another in its place, which is refused."""
+    path = fresh(spark, "published")
+    rows = views.table(spark, folder, "documents").select("doc_id", T.word_count(F.col("text")).alias("n_words"))
+    staging.publish(rows, path)
+    try:
+        staging.publish(rows.where("doc_id < 0"), path)
+        refused = False
+    except FileExistsError:
+        refused = True
+    return spark.read.schema(rows.schema).parquet(path).withColumn("refused", F.lit(refused))
+
+
+@query
+def io_keyed_lines(spark, folder):
+    """One file per document, named by its id, written and read back with line numbers."""
+    path = fresh(spark, "sentences")
+    lines = views.sentences(spark, folder).withColumn("key", F.concat(F.lit("doc"), "doc_id"))
+    keyed_files.write_keyed_files(lines.withColumn("text", F.replace("text", F.lit("\r"), F.lit(" "))), path)
+    return readers.read_keyed_lines(spark, f"{path}/*.txt").select(
+        "key", F.col("line_no").cast("int").alias("line_no"), F.length("text").alias("n_chars")
+    )
+
+
+@query
+def io_annotation_sets(spark, folder):
+    """Words of the benchmark items, one a line, with the clause names of eight parallel folders of 0/1 files."""
+    path = fresh(spark, "tos")
+    words = views.item_words(spark, folder).withColumn("item", F.concat(F.lit("item"), "item_id"))
+    sets = [f"labels_{i}" for i in range(len(curation.CLAUSE_LABELS))]
+    marks = words.select("*", F.posexplode(F.array(*[F.lit(s) for s in sets])).alias("label_type", "set")).select(
+        F.concat_ws("/", "set", "item").alias("key"),
+        "line_no",
+        F.expr("if((item_id*5+line_no*3+label_type)%11=0, '1', '0')").alias("text"),
+    )
+    both = words.select(F.concat(F.lit("sentences/"), "item").alias("key"), "line_no", "text").unionByName(marks)
+    keyed_files.write_keyed_files(both, path)
+    lines = readers.read_keyed_lines(spark, f"{path}/sentences/*.txt")
+    labelled = curation.label_lists(lines, readers.read_annotation_sets(spark, path, sets), ["key", "line_no"])
+    return labelled.select(
+        "key", F.col("line_no").cast("int").alias("line_no"), "text", F.array_join("labels", "|").alias("labels")
+    )
+
+
+@query
+def io_run_ledger(spark, folder):
+    """Every expected run: whether it counts and, if not, what is wrong with its file."""
+    names = {m: m.replace("_f1", "-f1") for m in readers.METRICS}
+    whole = F.to_json(F.struct(*[F.col(m).alias(n) for m, n in names.items()]))
+    place = (F.col("model") + F.col("task") + F.col("seed")) % 9
+    quotes = F.regexp_replace(whole, r'("predict_micro-f1":)([^,}]+)', '$1"$2"')
+    value = F.when(place == 0, F.substring(whole, 1, 20)).when(place == 1, quotes).otherwise(whole)
+    root = fresh(spark, "runs")
+    runs = views.all_runs(spark, folder).where(place != 2).withColumn("value", value)
+    writers.write_run_files(runs, "value", root, "all_results.json")
+    audit = readers.audit_runs(spark, root, leaderboard.expected_runs(spark, MODELS, TASKS, SEEDS))
+    return audit.select("task", "model", "seed", F.coalesce("reason", F.lit("counts")).alias("reason"))
+
+
+@query
+def io_headed_lines(spark, folder):
+    """Line scan of many files that each begin with a header; quoted or broken lines stay as they are."""
+    path = fresh(spark, "headed")
+    rows = views.raw_lines(spark, folder)
+    rows = rows.select(file_name("doc_id", rows.count()).alias("key"), "doc_id", "value")
+    # the header sorts before the lines of its file
+    header = rows.select("key").distinct().select("key", F.lit(None).cast("bigint").alias("doc_id"), F.lit("1,text,1").alias("value"))
+    lines = rows.withColumn("value", F.regexp_replace("value", r"[\r\n]", " ")).unionByName(header)
+    keyed_files.write_keyed_files(lines, path, order="doc_id", text="value", suffix=".csv")
+    kept = readers.read_lines(spark, f"{path}/*.csv", skip_first=True)
+    return kept.select(
+        F.md5(F.encode("value", "utf-8")).alias("line_md5"), curation.well_formed(F.col("value")).alias("well_formed")
+    )
+
+
+@query
+def io_drifted_json(spark, folder):
+    """JSON lines of two layouts in two folders, read as one table without the columns that were to go."""
+    docs = views.table(spark, folder, "documents").withColumn("split", views.split_column())
+    path = fresh(spark, "drifted")
+    old = docs.where("split <> 'train'").select("doc_id", "lang", "n_chars", F.length("text").alias("size"))
+    new = docs.where("split = 'train'").select("doc_id", F.col("lang").alias("language"), "n_chars", F.lit("x").alias("note"))
+    for name, rows in (("old", old), ("new", new)):
+        rows.write.json(f"{path}/{name}")
+    types = views.table(spark, folder, "documents").select("doc_id", F.lit(0).alias("size")).schema
+    back = readers.read_drifted_json(spark, [f"{path}/old", f"{path}/new"], types, drop=["note", "absent"])
+    return back.select("doc_id", F.coalesce("size", F.lit(-1)).alias("size"), "lang", "language", F.col("n_chars").alias("n_chars_text"))

@@ -126,6 +126,13 @@ def sentences(spark: SparkSession, folder: str) -> DataFrame:
     return unroll(docs, ["company", "doc_id"], "lines", "line_no", "text")
 
 
+def item_words(spark: SparkSession, folder: str) -> DataFrame:
+    """(item_id, line_no, text): the words of each benchmark item, parted at blanks, one a line."""
+    words = F.split(F.regexp_replace("text", r"[\r\n]", " "), " ")
+    items = table(spark, folder, "benchmark").select("item_id", words.alias("words"))
+    return unroll(items, ["item_id"], "words", "line_no", "text")
+
+
 def annotations(spark: SparkSession, folder: str) -> DataFrame:
     """(company, doc_id, line_no, label_type, value): eight parallel 0/1 lines per sentence."""
     types = F.explode(F.sequence(F.lit(0), F.lit(len(CLAUSE_LABELS) - 1)))
