@@ -202,7 +202,7 @@ def test_drifted_json(spark, tmp_path):
     back = R.read_drifted_json(spark, path, types, drop=["old", "nowhere"], layouts=layouts)
     assert back.columns == ["id", "label", "new", "text"]
     assert sorted(map(tuple, back.where("id is not null").collect())) == [
-        (1, None, None, "x"), (2, None, None, None), (3, None, '{"k":[1]}', None),
+        (1, None, None, "x"), (2, None, None, None), (3, None, '{"k": [1]}', None),
     ]
     with pytest.raises(ValueError, match="more than 2 layouts"):
         R.json_layouts(spark, path, max_layouts=2)
