@@ -11,6 +11,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from corpusloom.functions import text as T
+from corpusloom.operators.lookups import lookup_join
+from corpusloom.sources.cache import spool
+
+#: Labels that are compared with every row as a constant.
+MAX_ALLOWED = 10_000
 
 # The eight clause annotations, in file-set order.
 CLAUSE_LABELS = (
@@ -39,18 +44,22 @@ def keep_single_label(rows: DataFrame, labels: str, allowed: DataFrame) -> DataF
     """Rows with exactly one allowed label, their list reduced to it.
 
     ``allowed`` is a top-k result (column ``label``): its k values are read once
-    and reach the rows as a constant, so no join is needed.
+    and reach the rows as a constant, so no join is needed. More than ``MAX_ALLOWED``
+    are an error; ``rows_with_labels`` takes any number.
     """
-    names = [row["label"] for row in allowed.select("label").collect()]
+    names = [row["label"] for row in allowed.select("label").limit(MAX_ALLOWED + 1).collect()]
+    if len(names) > MAX_ALLOWED:
+        raise ValueError(f"more than {MAX_ALLOWED} allowed labels")
     constant = F.array(*[F.lit(name) for name in names]).cast("array<string>")
     kept = F.sort_array(F.array_intersect(labels, constant))
     return rows.where(F.arrays_overlap(labels, constant)).withColumn(labels, kept).where(F.size(labels) == 1)
 
 
 def rows_with_labels(rows: DataFrame, labels: str, id_column: str, allowed: DataFrame) -> DataFrame:
-    """(id, label) pairs whose label is in the bounded ``allowed`` table."""
+    """(id, label) pairs whose label is in the ``allowed`` table; it is broadcast only where it is small."""
     pairs = rows.select(id_column, F.explode(F.array_distinct(labels)).alias("label"))
-    return pairs.join(F.broadcast(allowed.select("label")), "label", "left_semi")
+    # stored, for its size is looked at before the join
+    return lookup_join(pairs, spool(allowed.select("label").distinct()), "label", spread_by=[id_column])
 
 
 def split_by_value(column: str, splits: dict[str, Sequence[str]]) -> Column:

@@ -180,3 +180,15 @@ def test_a_group_without_an_order_key_keeps_its_place(spark):
     groups = spark.createDataFrame([(None, "a"), (2010, "b"), (2011, "c")], "year int, company string")
     split = {r["company"]: r["split"] for r in C.chronological_splits(groups, ["year", "company"], 1, 1).collect()}
     assert split == {"a": "train", "b": "validation", "c": "test"}
+
+
+def test_allowed_labels_are_bounded_or_joined(spark, monkeypatch):
+    rows = spark.createDataFrame([(1, ["a", "b", "a"]), (2, ["c"]), (3, [])], "id int, labels array<string>")
+    allowed = spark.createDataFrame([("a",), ("c",), (None,), ("a",)], "label string")
+    for bound in (100, 0):
+        monkeypatch.setattr("corpusloom.operators.lookups.fits_broadcast", lambda table, *_: bound > 0)
+        pairs = C.rows_with_labels(rows, "labels", "id", allowed)
+        assert sorted((r["id"], r["label"]) for r in pairs.collect()) == [(1, "a"), (2, "c")]
+    monkeypatch.setattr(C, "MAX_ALLOWED", 1)
+    with pytest.raises(ValueError, match="more than 1 allowed"):
+        C.keep_single_label(rows, "labels", allowed)
