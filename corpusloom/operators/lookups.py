@@ -53,7 +53,9 @@ def lookup_join(
     A lookup within both bounds is broadcast, so the facts do not move. A larger
     one is joined by shuffle; each of its rows is then repeated once per salt and
     the facts spread over the salts by a hash of ``spread_by``, so a key that
-    holds a third of all facts is shared by ``SALTS`` tasks.
+    holds a third of all facts is shared by ``SALTS`` tasks. It is told to Spark as
+    a merge: the planner does not count the repeated rows, and would broadcast them
+    by the size of the file they come from.
     """
     if how not in ("inner", "left"):
         raise ValueError(f"how must be inner or left, not {how}")
@@ -61,7 +63,7 @@ def lookup_join(
     if fits_broadcast(lookup, max_rows, max_bytes):
         return facts.join(F.broadcast(lookup), keys, how)
     if not spread_by:
-        return facts.join(lookup, keys, how)
+        return facts.join(lookup.hint("merge"), keys, how)
     salted_facts = facts.withColumn("_salt", F.pmod(F.xxhash64(*spread_by), F.lit(SALTS)).cast("int"))
     salted_lookup = lookup.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return salted_facts.join(salted_lookup, [*keys, "_salt"], how).drop("_salt")
+    return salted_facts.join(salted_lookup.hint("merge"), [*keys, "_salt"], how).drop("_salt")

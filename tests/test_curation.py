@@ -1,7 +1,10 @@
 """Curation, sampling and lookup joins."""
 
+import contextlib
 import hashlib
+import io
 import random
+from functools import partial
 
 import pytest
 from pyspark.sql import functions as F
@@ -9,6 +12,8 @@ from pyspark.sql import functions as F
 from corpusloom.operators import curation as C
 from corpusloom.operators import sampling as S
 from corpusloom.operators.lookups import fits_broadcast, lookup_join
+from corpusloom.plans import views
+from corpusloom.plans.queries import QUERIES
 
 
 @pytest.fixture(scope="module")
@@ -118,7 +123,7 @@ def expected_sample(rows, sizes, seed):
 def test_sample_per_group_equals_sorting_each_group(spark, seed):
     # one year holds two thirds of all rows, one is smaller than its sample, one is unknown
     rows = [(i, "2016" if i % 3 else "2017" if i % 2 else "2018") for i in range(6_000)]
-    rows += [(10_000 + i, "2019") for i in range(5)] + [(20_000 + i, "2030") for i in range(50)]
+    rows += [(10_000 + i, "2019") for i in range(5)] + [(100_000 + i, "2030") for i in range(50)]
     sizes = {"2016": 1500, "2017": 1, "2018": 10_000, "2019": 7, "2020": 3}
     df = spark.createDataFrame(rows, "id int, year string").withColumn("text", F.lit("t"))
     got = S.sample_per_group(df, "year", sizes, "id", seed)
@@ -163,6 +168,49 @@ def test_lookup_join_gives_the_same_rows_on_every_path(spark):
         assert sorted(map(tuple, plain.select("id", "k", "v").fillna(-1).collect())) == small
 
 
+@pytest.mark.parametrize("spread_by", [["id"], []])
+def test_a_lookup_beyond_the_bounds_is_never_broadcast(spark, tmp_path, spread_by):
+    # its file is far below Spark's own threshold, its rows times the salts are not
+    spark.range(1_000).select(F.col("id").alias("k"), F.lit("x").alias("v")).write.parquet(f"{tmp_path}/lookup")
+    lookup = spark.read.parquet(f"{tmp_path}/lookup")
+    joined = lookup_join(spark.range(5_000).withColumn("k", F.col("id") % 900), lookup, "k", spread_by=spread_by, max_rows=999)
+    assert joined.count() == 5_000
+    with contextlib.redirect_stdout(io.StringIO()) as plan:
+        joined.explain()
+    assert "SortMergeJoin" in plan.getvalue() and "Broadcast" not in plan.getvalue()
+
+
+@pytest.fixture(scope="module")
+def orders_folder(spark, tmp_path_factory):
+    """Orders of one to three brands; the parts are many, in a file smaller than that of the lines."""
+    folder = str(tmp_path_factory.mktemp("orders"))
+    brand = F.concat(F.lit("Brand#"), F.col("id") % 7)
+    spark.range(100_000).select(F.col("id").alias("p_partkey"), brand.alias("p_brand")).write.parquet(f"{folder}/part.parquet")
+    date = F.to_timestamp(F.concat(F.col("id") % 7 + 1995, F.lit("-03-01")))
+    spark.range(700).select(F.col("id").alias("o_orderkey"), date.alias("o_orderdate")).write.parquet(f"{folder}/orders.parquet")
+    order, some = F.col("id") % 700, F.pmod(F.xxhash64("id"), F.lit(14_000))
+    part = some * 7 + (order + some % (order % 3 + 1)) % 7
+    spark.range(400_000).select(order.alias("l_orderkey"), part.alias("l_partkey")).write.parquet(f"{folder}/lineitem.parquet")
+    return folder
+
+
+@pytest.mark.parametrize(
+    "name",
+    [
+        "curate_label_counts",
+    ],
+)
+def test_queries_on_brands_do_not_broadcast_parts_beyond_the_bounds(spark, orders_folder, monkeypatch, name):
+    rows = sorted(map(str, QUERIES[name](spark, orders_folder).collect()))
+    monkeypatch.setattr(views, "lookup_join", partial(lookup_join, max_rows=50_000))
+    # between the one page of any small broadcast and the parts once per salt
+    spark.conf.set("spark.sql.maxBroadcastTableSize", "100m")
+    try:
+        assert rows and sorted(map(str, QUERIES[name](spark, orders_folder).collect())) == rows
+    finally:
+        spark.conf.unset("spark.sql.maxBroadcastTableSize")
+
+
 def test_a_hundred_label_types(spark):
     names = [f"name{i}" for i in range(100)]
     sentences = spark.createDataFrame([(0,), (1,), (2,)], "line_no int")
