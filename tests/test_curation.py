@@ -198,6 +198,7 @@ def orders_folder(spark, tmp_path_factory):
     "name",
     [
         "curate_label_counts",
+        "curate_label_pairs",
     ],
 )
 def test_queries_on_brands_do_not_broadcast_parts_beyond_the_bounds(spark, orders_folder, monkeypatch, name):
