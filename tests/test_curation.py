@@ -199,6 +199,7 @@ def orders_folder(spark, tmp_path_factory):
     [
         "curate_label_counts",
         "curate_label_pairs",
+        "curate_single_label",
     ],
 )
 def test_queries_on_brands_do_not_broadcast_parts_beyond_the_bounds(spark, orders_folder, monkeypatch, name):
