@@ -201,6 +201,7 @@ def orders_folder(spark, tmp_path_factory):
         "curate_label_pairs",
         "curate_single_label",
         "curate_top_labels",
+        "curate_year_sample_split",
     ],
 )
 def test_queries_on_brands_do_not_broadcast_parts_beyond_the_bounds(spark, orders_folder, monkeypatch, name):
