@@ -7,13 +7,14 @@ final names, so a lost or repeated attempt leaves nothing that a reader sees.
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Iterator
 from itertools import groupby
 
 import pyarrow as pa
 from pyarrow import fs
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.ship import ship
@@ -23,6 +24,8 @@ from corpusloom.sources.files import open_folder, refuse_filled, remove_folder
 MANIFEST = "key string, temporary string, n_lines bigint, n_bytes bigint"
 #: Folder of the published manifest; Spark's readers pass over names that start so.
 MANIFEST_FOLDER = "_manifest"
+#: Published files that one task reads, by number and bytes; bytes of a batch of them.
+FILES_A_TASK, BYTES_A_TASK, READ_BYTES = 10_000, 64 << 20, 1 << 20
 #: Names in a path, without a dot (readers cut names there) and not hidden.
 KEY_PATTERN = r"\A[^/._\x00][^/.\x00]*(/[^/._\x00][^/.\x00]*)*\z"
 
@@ -111,6 +114,44 @@ def write_keyed_files(
     return result
 
 
+def read_published(spark: SparkSession, folder: str, suffix: str = ".txt") -> DataFrame | None:
+    """(key, value): whole contents of the files that the manifest of ``folder`` names, subfolders apart; read by the tasks.
+
+    None where there is no manifest, or its files have another suffix.
+    """
+    if re.search(r"[\[\]{}*?\\]", folder) or not _has_manifest(folder):
+        return None
+    named = spark.read.parquet(f"{folder}/{MANIFEST_FOLDER}").where("not contains(key, '/')")
+    first, system, root = named.first(), *open_folder(folder)
+    if first is None or system.get_file_info(f"{root}/{first['key']}{suffix}").type == fs.FileType.NotFound:
+        return None
+    ship(spark)
+    n_files, n_bytes = named.agg(F.count("*"), F.sum("n_bytes")).first()
+    tasks = max(spark.sparkContext.defaultParallelism, n_files // FILES_A_TASK, n_bytes // BYTES_A_TASK)
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, root = open_folder(folder)
+        names = (name for batch in batches for name in batch.column(0).to_pylist())
+        held, size = [], 0
+        for name in names:
+            with system.open_input_stream(f"{root}/{name}{suffix}") as file:
+                held.append((name, file.read()))
+            size += len(held[-1][1])
+            if size >= READ_BYTES:
+                yield _contents(held)
+                held, size = [], 0
+        if held:
+            yield _contents(held)
+
+    files = named.select("key").repartition(tasks, "key").mapInArrow(read, "key string, value binary")
+    return files.select("key", F.col("value").cast("string").alias("value"))
+
+
+def _contents(held: list[tuple[str, bytes]]) -> pa.RecordBatch:
+    keys, values = zip(*held, strict=True)
+    return pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array(values, pa.binary())], names=["key", "value"])
+
+
 def _files(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, Iterator[list[str]]]]:
     """(key, its texts batch by batch) of rows that are sorted by key."""
     pieces = (
@@ -129,8 +170,12 @@ def _manifest_row(*values: object) -> pa.RecordBatch:
 
 
 def _old_manifest(spark, folder: str) -> DataFrame | None:
-    system, root = open_folder(folder)
-    if system.get_file_info(f"{root}/{MANIFEST_FOLDER}/_SUCCESS").type == fs.FileType.NotFound:
+    if not _has_manifest(folder):
         return None
     # stored apart: the folder it is read from is replaced
     return spool(spark.read.parquet(f"{folder}/{MANIFEST_FOLDER}").select("key"))
+
+
+def _has_manifest(folder: str) -> bool:
+    system, root = open_folder(folder)
+    return system.get_file_info(f"{root}/{MANIFEST_FOLDER}/_SUCCESS").type != fs.FileType.NotFound

@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 
 from corpusloom.functions.text import file_stem
 from corpusloom.operators.curation import canonical_split
+from corpusloom.sinks import keyed_files
 from corpusloom.sources import schemas
 
 METRICS = ("eval_micro_f1", "eval_macro_f1", "predict_micro_f1", "predict_macro_f1")
@@ -119,11 +120,17 @@ def read_choice_csv(spark: SparkSession, path: str, header: bool = True) -> Data
 def read_keyed_lines(spark: SparkSession, glob: str) -> DataFrame:
     """Lines of small files as (key, line_no, text); the key is the file name's stem.
 
-    One file is one document, so a file per row keeps line numbers exact.
+    One file is one document, so a file per row keeps line numbers exact. Where the files
+    are those of ``keyed_files.write_keyed_files``, its manifest names them, and no list
+    of files goes through the driver; files that others put beside them are not read.
     """
     content = F.regexp_replace("value", r"\r\n?", "\n")
-    files = spark.read.text(glob, wholetext=True).select(
-        file_stem(F.col("_metadata.file_name")).alias("key"),
+    folder, _, pattern = glob.rpartition("/")
+    published = keyed_files.read_published(spark, folder, pattern[1:]) if re.fullmatch(r"\*\.\w+", pattern) else None
+    if published is None:
+        published = spark.read.text(glob, wholetext=True).select("value", file_stem(F.col("_metadata.file_name")).alias("key"))
+    files = published.select(
+        "key",
         F.split(F.regexp_replace(content, r"\n\z", ""), "\n").alias("lines"),
         (F.length("value") > 0).alias("filled"),
     )

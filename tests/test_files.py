@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corpusloom.operators import curation
+from corpusloom.sinks import keyed_files
 from corpusloom.sinks import writers as W
 from corpusloom.sources import cache, readers as R
 
@@ -134,3 +135,20 @@ def test_shared_folder_is_the_configured_one(spark):
     from corpusloom.session import shared_folder
 
     assert shared_folder(spark) == spark.conf.get("spark.checkpoint.dir")
+
+
+def test_published_files_are_read_by_their_manifest(spark, tmp_path):
+    rows = spark.range(40).select(F.concat(F.lit("k"), F.col("id") % 5).alias("key"), F.col("id").alias("line_no"), F.lit("é\u2028x").alias("text"))
+    other = rows.limit(3).withColumn("key", F.lit("sub/name"))
+    keyed_files.write_keyed_files(rows.unionByName(other), str(tmp_path / "out"))
+    plan = R.read_keyed_lines(spark, f"{tmp_path}/out/*.txt")
+    # no file but the manifest is listed for the scan, so their names do not pass the driver
+    assert plan.inputFiles() and all("/_manifest/" in name for name in plan.inputFiles())
+    # the same files without a manifest
+    for name in (tmp_path / "out").glob("*.txt"):
+        write(tmp_path / "bare" / name.name, name.read_bytes().decode())
+    bare = R.read_keyed_lines(spark, f"{tmp_path}/bare/*.txt")
+    assert sorted(map(tuple, plan.collect())) == sorted(map(tuple, bare.collect())) and plan.count() == 40
+    assert R.read_keyed_lines(spark, f"{tmp_path}/out/sub/*.txt").count() == 3
+    with pytest.raises(AnalysisException, match="PATH_NOT_FOUND"):
+        R.read_keyed_lines(spark, f"{tmp_path}/out/*.csv").collect()
