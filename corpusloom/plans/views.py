@@ -115,7 +115,7 @@ def orders_brands(spark: SparkSession, folder: str) -> DataFrame:
     orders = table(spark, folder, "orders").select(
         "o_orderkey", F.year("o_orderdate").cast("string").alias("year")
     )
-    return labels.join(orders, "o_orderkey")
+    return lookup_join(labels, orders, "o_orderkey")
 
 
 def sentences(spark: SparkSession, folder: str) -> DataFrame:

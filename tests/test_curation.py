@@ -217,6 +217,27 @@ def test_queries_on_brands_do_not_broadcast_parts_beyond_the_bounds(spark, order
         spark.conf.unset("spark.sql.maxBroadcastTableSize")
 
 
+@pytest.mark.parametrize(
+    "name",
+    [
+        "curate_label_pairs",
+    ],
+)
+def test_queries_on_brands_do_not_broadcast_orders_beyond_the_bounds(spark, orders_folder, monkeypatch, name):
+    # the file of the orders is far below Spark's own threshold, whatever it unpacks to
+    rows = sorted(map(str, QUERIES[name](spark, orders_folder).collect()))
+    made, orders_brands = [], views.orders_brands
+    monkeypatch.setattr(views, "lookup_join", partial(lookup_join, max_rows=699))
+    monkeypatch.setattr(views, "orders_brands", lambda *given: made.append(orders_brands(*given)) or made[-1])
+    assert rows and sorted(map(str, QUERIES[name](spark, orders_folder).collect())) == rows
+    for step in made:
+        step.collect()
+        with contextlib.redirect_stdout(io.StringIO()) as plan:
+            step.explain()
+        assert "SortMergeJoin" in plan.getvalue() and "Broadcast" not in plan.getvalue()
+    assert made
+
+
 def test_a_hundred_label_types(spark):
     names = [f"name{i}" for i in range(100)]
     sentences = spark.createDataFrame([(0,), (1,), (2,)], "line_no int")
