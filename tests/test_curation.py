@@ -225,6 +225,7 @@ def test_queries_on_brands_do_not_broadcast_parts_beyond_the_bounds(spark, order
         "curate_top_labels",
         "curate_year_sample_split",
         "io_json_records",
+        "io_split_json",
     ],
 )
 def test_queries_on_brands_do_not_broadcast_orders_beyond_the_bounds(spark, orders_folder, monkeypatch, name):
