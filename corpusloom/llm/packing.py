@@ -20,7 +20,7 @@ import os
 import re
 import struct
 import zlib
-from collections.abc import Sequence
+from collections.abc import Iterable, Sequence
 
 import numpy as np
 import pandas as pd
@@ -59,7 +59,8 @@ class WordBytes(dict):
     """Word -> its ids as little-endian unsigned 32-bit integers.
 
     The vocabulary splits at white space and never across it, so a text's ids are
-    those of its words. Plain words are encoded many at a time.
+    those of its words. Plain words are encoded many at a time; where the vocabulary
+    marks the last token of a word, that mark tells them apart.
     """
 
     def __init__(self, path: str) -> None:
@@ -68,42 +69,105 @@ class WordBytes(dict):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-
-    def learn(self, words: set[bytes]) -> None:
+        known, suffix = self.tokenizer.get_vocab(), getattr(self.tokenizer.model, "end_of_word_suffix", None)
+        #: Per id, whether it ends a word; none where the vocabulary has no such mark.
+        self.last = None
+        if suffix:
+            self.last = np.zeros(max(known.values()) + 1, bool)
+            self.last[[i for token, i in known.items() if token.endswith(suffix)]] = True
+
+    def learn(self, words: Iterable[bytes]) -> None:
         """Take in the words that are not there yet."""
         plain, odd = [], []
         for word in words:
             if word not in self:
-                (plain if _PLAIN(word) else odd).append(word)
+                (plain if word.isalpha() or _PLAIN(word) else odd).append(word)
         for start in range(0, len(plain), 2000):
             some = plain[start : start + 2000]
-            found = self.tokenizer.encode(b" ".join(some).decode(), add_special_tokens=False)
-            ids = np.array(found.ids, "<u4").tobytes()
-            run = np.array(found.word_ids)
-            ends = (4 * np.flatnonzero(run[1:] != run[:-1]) + 4).tolist() + [len(ids)]
-            if len(ends) != len(some):
+            text = b" ".join(some).decode()
+            if self.last is None:
+                found = self.tokenizer.encode(text, add_special_tokens=False)
+                ids, run = np.array(found.ids, "<u4"), np.array(found.word_ids)
+                ends = [*(np.flatnonzero(run[1:] != run[:-1]) + 1).tolist(), len(ids)]
+            else:
+                # no character positions are kept, which cost as much as the merging
+                (found,) = self.tokenizer.encode_batch_fast([text], add_special_tokens=False)
+                ids = np.array(found.ids, "<u4")
+                ends = (np.flatnonzero(self.last[ids]) + 1).tolist()
+            if len(ends) != len(some) or ends[-1] != len(ids):
                 raise ValueError("the vocabulary does not split at white space")
-            self.update(zip(some, [ids[i:j] for i, j in zip([0, *ends], ends)], strict=True))
+            raw = ids.tobytes()
+            self.update(zip(some, [raw[4 * i : 4 * j] for i, j in zip([0, *ends], ends)], strict=True))
         for word in odd:
             ids = self.tokenizer.encode(word.decode("utf-8", "replace"), add_special_tokens=False).ids
             self[word] = struct.pack(f"<{len(ids)}I", *ids)
 
+    def of(self, words: list[bytes]) -> list[bytes]:
+        """The ids of every word."""
+        found = list(map(self.get, words))
+        new = [i for i, ids in enumerate(found) if ids is None]
+        self.learn([words[i] for i in new])
+        for i in new:
+            found[i] = self[words[i]]
+        return found
 
-def split_words(text: bytes) -> list[bytes]:
-    """Parts of a text that the vocabulary encodes one by one: words, and the punctuation that ends them.
 
-    Case is folded as the vocabulary does; a text that may hold one of its special
-    strings is only split at white space.
-    """
-    if b"<|" in text:
-        return text.split()
-    return _ENDING(rb"\1 \2", text.lower()).split()
+#: Letters of Latin-1 alone: one run for the vocabulary, and untouched by its normal form.
+_PLAIN = re.compile(rb"[a-zA-Z]*(?:\xc3[\x80-\x96\x98-\xb6\xb8-\xbf][a-zA-Z]*)+").fullmatch
 
 
-#: Letters of Latin-1 alone: one run for the vocabulary, and untouched by its normal form.
-_PLAIN = re.compile(rb"(?:[a-zA-Z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+").fullmatch
+def _bytes_of(some: bytes) -> np.ndarray:
+    """Whether a byte is one of some."""
+    found = np.zeros(256, bool)
+    found[list(some)] = True
+    return found
+
+
+_BLANK = _bytes_of(b" \t\n\v\f\r")
 #: Punctuation behind a letter or digit up to white space is a run of its own for the vocabulary.
-_ENDING = re.compile(rb"([a-z0-9]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])([.,!?;:%*&#$]+)(?=[ \t-\r]|$)").sub
+_MARK = _bytes_of(b".,!?;:%*&#$")
+_LETTER = _bytes_of(b"abcdefghijklmnopqrstuvwxyz0123456789")
+#: Second byte of a letter of Latin-1, behind 0xC3.
+_ACCENTED = _bytes_of(bytes([*range(0x80, 0x97), *range(0x98, 0xB7), *range(0xB8, 0xC0)]))
+
+
+def split_texts(texts: Sequence[bytes | None]) -> tuple[np.ndarray, pa.DictionaryArray]:
+    """Parts that the vocabulary encodes one by one, and the places among them where texts begin and the last one ends.
+
+    Parts are words, and the punctuation that ends them. Case is folded as the
+    vocabulary does, but for a text that may hold one of its special strings, which
+    have a case.
+    """
+    lowered = [t if b"<|" in t else t.lower() for t in (t or b"" for t in texts)]
+    raw = np.frombuffer(b"\n".join([b"", *lowered, b""]), np.uint8)
+    inside, mark = ~_BLANK[raw], _MARK[raw]
+    starts, ends = _edges(inside)
+    first, behind = _edges(mark)
+    before = raw[first - 1]
+    run = _LETTER[before] | (_ACCENTED[before] & (raw[first - 2] == 0xC3))
+    cuts = first[run & ~inside[behind]]
+    starts, ends = np.sort(np.concatenate([starts, cuts])), np.sort(np.concatenate([ends, cuts]))
+    offsets = np.concatenate([[0], np.cumsum(ends - starts)])
+    buffers = [None, pa.py_buffer(offsets), pa.py_buffer(raw[inside])]
+    words = pa.Array.from_buffers(pa.large_binary(), len(starts), buffers)
+    begins = np.cumsum([1, *(len(t) + 1 for t in lowered)])
+    return np.searchsorted(starts, begins), words.dictionary_encode()
+
+
+def _edges(inside: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where runs begin, and the places behind their ends; neither the first nor the last value is in a run."""
+    turns = np.flatnonzero(inside[1:] != inside[:-1]) + 1
+    return turns[::2], turns[1::2]
+
+
+def piece_crcs(ids: memoryview, step: int) -> list[int]:
+    """The CRC-32 of every ``step`` bytes of the ids with the closing one."""
+    crcs = [zlib.crc32(ids[i : i + step]) for i in range(0, len(ids), step)]
+    if len(ids) % step:
+        crcs[-1] = zlib.crc32(_END, crcs[-1])
+    else:
+        crcs.append(zlib.crc32(_END))
+    return crcs
 
 
 def tokenise(
@@ -127,17 +191,17 @@ def tokenise(
         def work(batch):
             if len(table) > MAX_WORDS:
                 table.clear()
-            split = [split_words(t or b"") for t in batch]
-            table.learn(set().union(*split))
-            look = table.__getitem__
-            made = [b"".join(map(look, words)) + _END for words in split]
+            bounds, words = split_texts(batch)
+            known = table.of(words.dictionary.to_numpy(zero_copy_only=False).tolist())
+            ids = pa.array(known, pa.large_binary()).take(words.indices)
+            _, ends, joined = ids.buffers()
+            ends = np.frombuffer(ends, np.int64)[ids.offset + bounds].tolist()
+            whole = memoryview(joined or b"")
+            made = [whole[i:j] for i, j in zip(ends, ends[1:])]
             return {
-                "n_ids": pa.array([len(m) // 4 for m in made], pa.int64()),
-                "crcs": pa.array(
-                    [[zlib.crc32(m[i : i + step]) for i in range(0, len(m), step)] for m in made],
-                    pa.list_(pa.int64()),
-                ),
-                "ids": pa.array(made if with_ids else [None] * len(made), pa.binary()),
+                "n_ids": pa.array([len(m) // 4 + 1 for m in made], pa.int64()),
+                "crcs": pa.array([piece_crcs(m, step) for m in made], pa.list_(pa.int64())),
+                "ids": pa.array([bytes(m) + _END for m in made] if with_ids else [None] * len(made), pa.binary()),
             }
 
         return work
