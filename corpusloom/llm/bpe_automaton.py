@@ -66,7 +66,8 @@ def compile_merges(n_bytes: int, merges: Iterable[tuple[int, int]]) -> Automaton
     merges = list(merges)
     n = n_bytes + len(merges)
     target = np.zeros(n, np.int64)
-    labels_into = [n_bytes]
+    # the start is entered without a label, which counts as one: no merge may take its arcs
+    labels_into = [n_bytes + 1]
     # bit of a state, in words of 64 states, per token
     leaves = np.zeros((4, n), np.uint64)
     leaves[0, :n_bytes] = 1

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import itertools
 import random
 from functools import lru_cache
 
@@ -68,6 +69,19 @@ def test_paths_are_the_merged_words(data):
         assert encode(word) == merged(word, n_bytes, merges)
 
 
+def test_the_start_keeps_its_arcs():
+    """Before the last merge only its first part still leads to the state where words start."""
+    merges, labels = [(0, 1), (0, 0), (2, 0), (1, 4), (3, 0)], [b"\0", b"\1", b"\2"]
+    for u, v in merges:
+        labels.append(labels[u] + labels[v])
+    automaton = bpe_automaton.compile_merges(3, merges)
+    vocab = bpe_automaton.Vocabulary(automaton, tuple(labels), tuple(range(len(labels))), ())
+    encode = bpe_automaton.Encoder(vocab).path
+    for n in range(7):
+        for word in map(bytes, itertools.product(range(3), repeat=n)):
+            assert encode(word) == merged(word, 3, merges)
+
+
 @settings(max_examples=300, deadline=None)
 @given(st.text(max_size=60))
 def test_any_text(text):
